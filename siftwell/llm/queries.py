@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
+from siftwell.llm.packing import pack_documents
+from siftwell.llm.sharding import shard
 from siftwell.llm.simhash import near_duplicates
 
 
@@ -15,8 +17,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 40 shards along a Hilbert curve."""
+    return shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL where SQL can express the operator.
