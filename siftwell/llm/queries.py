@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
+from siftwell.llm.decontam import ORACLE as CONTAMINATION_SQL
+from siftwell.llm.decontam import contamination
 from siftwell.llm.packing import pack_documents
+from siftwell.llm.quality import quality
 from siftwell.llm.sharding import shard
 from siftwell.llm.simhash import near_duplicates
+from siftwell.llm.toxicity import toxicity
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a factorisation machine."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by maximum-scoring segments."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents by one automaton."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards along a Hilbert curve."""
     return shard(table(spark, sf_dir, "documents"))
@@ -30,8 +49,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": CONTAMINATION_SQL,
+}
