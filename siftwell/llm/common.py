@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder for tables that a job writes and reads again."""
+    _prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

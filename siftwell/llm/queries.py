@@ -10,6 +10,7 @@ from siftwell.llm.common import table
 from siftwell.llm.decontam import ORACLE as CONTAMINATION_SQL
 from siftwell.llm.decontam import contamination
 from siftwell.llm.packing import pack_documents
+from siftwell.llm.pii import find as find_personal_data
 from siftwell.llm.quality import quality
 from siftwell.llm.sharding import shard
 from siftwell.llm.simhash import near_duplicates
@@ -26,6 +27,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents by patterns and a conditional random field."""
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a factorisation machine."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,6 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
