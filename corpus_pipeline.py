@@ -1,8 +1,8 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of `documents`. A null or repeated doc_id never drops rows that a stage means to keep:
-the filters work on the row's own text or on the least doc_id of its group.
+columns of `documents`. Rows are judged by their own text, or as a member of their near-duplicate
+group, so a null doc_id never drops a row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftwell.llm import decontam, packing, pii, simhash, toxicity
 from siftwell.llm.common import scratch, table
@@ -18,21 +17,17 @@ from siftwell.llm.common import scratch, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score below 0.7)."""
-    rejected = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == F.col("_rejected"), "left_anti")
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least doc_id."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage of weight (the rule of `decontam.contamination`)."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_hit"), "left_anti")
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import FOLD
+from siftwell.llm.rewrite import keep_rows
 
 WINDOW = 13
 #: Most bytes of windows in one automaton (tries take some 50 times as much memory).
 AUTOMATON_BYTES = 4_000_000
+#: Most bytes of item texts that are shared with every worker at once.
+BENCHMARK_BYTES = 32_000_000
 #: A document is contaminated if at least one word of so many is hit.
 HIT_SHARE = 20
 
@@ -96,6 +99,16 @@ def scan(words: list[str], automata: list) -> tuple[np.ndarray, set[str]]:
     return np.cumsum(hit)[:-1] > 0, items
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int):
+    """The windows of all items as a broadcast. Refuses a benchmark that is not small by nature."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes is beyond {BENCHMARK_BYTES}; pass it in parts and unite the rows")
+    rows = benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id").collect()
+    blocks = item_blocks([(str(r[0]), r[1]) for r in rows], window)
+    return docs.sparkSession.sparkContext.broadcast(blocks)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items (sorted), and on demand
     spans: maximal runs of hit words as (start, stop) characters of the original text.
@@ -103,10 +116,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans
     Null and empty texts have no words; an item without words has no window; an empty benchmark
     hits nothing. Items with the same id count once. Repeated rows give repeated rows.
     """
-    items = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id").toLocalIterator()]
-    blocks = item_blocks(items, window)
+    shared = _shared(docs, benchmark, window)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>" + ", spans array<struct<start: int, stop: int>>" * with_spans
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [a for a in map(_automaton, shared.value) if a is not None]
@@ -142,6 +153,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, h
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hit_share: int = HIT_SHARE) -> DataFrame:
+    """The rows of `docs`, with all columns, that `contamination` does not mark. Null texts stay."""
+    shared = _shared(docs, benchmark, window)
+    built: list = []
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        if not built:
+            built.append([a for a in map(_automaton, shared.value) if a is not None])
+        out = []
+        for text in texts:
+            words = [w for w in normal(text) if w]
+            n = int(scan(words, built[0])[0].sum())
+            out.append(not (n > 0 and hit_share * n >= len(words)))
+        return out
+
+    return keep_rows(docs, keep)
+
+
 def digest(items: list[str]) -> str:
     """The digest of an item list, as `contamination` gives it."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

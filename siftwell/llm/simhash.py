@@ -206,3 +206,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs`, with all columns, of the least doc_id of each near-duplicate group.
+
+    Rows without a doc_id stay. Rows that repeat a doc_id count as one document, of which the row
+    with the least text hash stays. Only ids that go (or repeat) are joined, not those that stay.
+    """
+    groups = cut(near_duplicates(docs, bucket=bucket).where("doc_id is not null").select("doc_id", "component_id"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, left["doc_id"] == F.col("_again"), "left_semi").orderBy(F.xxhash64("text")).dropDuplicates(["doc_id"])
+    return left.join(again, left["doc_id"] == F.col("_again"), "left_anti").unionByName(once)

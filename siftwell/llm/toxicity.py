@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import held_out
 from siftwell.llm.labelled import SAMPLE_ROWS, labelled_sample
+from siftwell.llm.rewrite import keep_rows
 
 DRIFT = -0.6
 TOP = 6.0
@@ -219,3 +220,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
     """doc_id, held_out, score, predicted for every document."""
     scored = score(docs, learn(docs, labels, rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs`, with all columns, that `toxicity` does not reject. Null texts stay."""
+    model = learn(docs, labels, rows)
+    memo = Scores(model.scores)
+    return keep_rows(docs, lambda texts: [model.probability(min(passages(t, model, memo)[0], 20.0)) < threshold for t in texts])
