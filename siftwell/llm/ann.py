@@ -1,0 +1,264 @@
+"""Nearest neighbours by inner product over shifted space-filling curves.
+
+Index. Equal vectors are folded into one point, which keeps their least ids, so copies cost one
+point however many there are. One coordinate is added that makes all points equally long (queries
+have zero there), which turns the largest inner product into the least distance. For each of
+several curves the points are projected on random directions, shifted at random, quantised and
+given their Hilbert index; scales come from a bounded sample, and every point is indexed. Spark
+range-partitions and sorts the points of all curves by (curve, index); each query stands among
+them by its own index, and the `window` points on either side are scored. The curves' windows
+merge, and the best of the union are the neighbours found.
+
+Check. Vectors without structure have no curve that keeps their neighbours near. So an exact
+check may follow: queries with the score of their last neighbour found meet blocks of points in
+curve order; a block whose centre and radius prove that it holds nothing better is skipped, and
+from the others only points that reach the score come out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from siftwell.llm.common import cut, shuffle_partitions
+from siftwell.llm.hilbert import hilbert_index
+
+NEIGHBOURS = 20
+CURVES = 4
+DIRECTIONS, BITS = 6, 10
+WINDOW = 96
+#: Points whose projections set the scales of the curves.
+SAMPLE = 4096
+#: Queries and points that meet in one task of the check.
+QUERY_BLOCK, POINT_BLOCK = 4096, 16384
+SEED = 5
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, embedding) to (id, size, norm, vec as float64 bytes) of the vectors that take part."""
+    for batch in batches:
+        ids, sizes, norms, vecs = [], [], [], []
+        for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if vec_id is None or not values.is_valid or values.values.null_count or not len(values.values):
+                continue
+            v = values.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+            norm = float(v @ v)
+            if np.isfinite(v).all() and v.any():
+                ids.append(vec_id)
+                sizes.append(len(v))
+                norms.append(norm)
+                vecs.append(v.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(norms, pa.float64()), pa.array(vecs, pa.binary())], names=["vec_id", "size", "norm", "vec"])
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, size)
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise inner products, summed in one fixed order, so that equal vectors score equally."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+class Curves:
+    """Random directions, shifts and the scales of the curves."""
+
+    def __init__(self, sample: np.ndarray, longest: float, curves: int = CURVES, seed: int = SEED):
+        random = np.random.default_rng(seed)
+        size = sample.shape[1] + 1
+        self.longest = longest
+        self.directions = [np.linalg.qr(random.normal(size=(size, min(DIRECTIONS, size))))[0] for _ in range(curves)]
+        self.shifts = [random.random(d.shape[1]) for d in self.directions]
+        full = self._longer(sample, False)
+        self.scales = [np.quantile(full @ d, [0.005, 0.995], axis=0) for d in self.directions]
+
+    def _longer(self, vectors: np.ndarray, query: bool) -> np.ndarray:
+        extra = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(self.longest - (vectors**2).sum(axis=1), 0))
+        return np.column_stack([vectors, extra])
+
+    def keys(self, vectors: np.ndarray, query: bool) -> list[np.ndarray]:
+        full, half, out = self._longer(vectors, query), 1 << (BITS - 1), []
+        for d, shift, (low, high) in zip(self.directions, self.shifts, self.scales):
+            unit = np.clip((full @ d - low) / np.maximum(high - low, 1e-12), 0, 1)
+            out.append(hilbert_index(np.minimum((unit + shift) * half, 2 * half - 1).astype(np.int64), BITS))
+        return out
+
+
+def _windows(size: int, keep: int, window: int):
+    """Rows (curve, key, point, query, vec), sorted, to (query, point, score): each query's best
+    `keep` of the points within `window` places on either side, in its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The tail of the last batch stays in front of the next one, so windows cross batches.
+        curve = np.empty(0, dtype=np.int32)
+        point, query, vec = np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), np.empty((0, size))
+        done = 0
+
+        def scored(upto: int) -> pa.RecordBatch:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            data = np.flatnonzero(~query)
+            for i in np.flatnonzero(query[done:upto]) + done:
+                at = np.searchsorted(data, i)
+                near = data[max(0, at - window) : at + window]
+                near = near[curve[near] == curve[i]]
+                if len(near):
+                    s = exact_scores(vec[near], np.broadcast_to(vec[i], (len(near), size)))
+                    best = np.lexsort((point[near], -s))[:keep]
+                    out.append((np.full(len(best), point[i]), point[near][best], s[best]))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "point", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            curve = np.concatenate([curve, batch.column(0).to_numpy(zero_copy_only=False)])
+            point = np.concatenate([point, batch.column(2).to_numpy(zero_copy_only=False)])
+            query = np.concatenate([query, batch.column(3).to_numpy(zero_copy_only=False).astype(bool)])
+            vec = np.concatenate([vec, _matrix(batch.column(4), size)])
+            # A query is ready when `window` points follow it.
+            behind = np.cumsum((~query)[::-1])[::-1]
+            ready = int(np.searchsorted(-behind, -window, side="right"))
+            if ready > done:
+                yield scored(ready)
+                done = ready
+                before = np.cumsum(~query[:done])
+                cut_at = int(np.searchsorted(before, max(0, (before[-1] if done else 0) - window), side="left"))
+                curve, point, query, vec = curve[cut_at:], point[cut_at:], query[cut_at:], vec[cut_at:]
+                done -= cut_at
+        if len(curve):
+            yield scored(len(curve))
+
+    return run
+
+
+def _best(rows: DataFrame, keep: int) -> DataFrame:
+    """The `keep` best points of each query, each once."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "point")
+    return rows.groupBy("query", "point").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+
+
+def _block_bounds(vectors: np.ndarray, rows: int = 256) -> list[tuple[slice, np.ndarray, float]]:
+    out = []
+    for a in range(0, len(vectors), rows):
+        part = vectors[a : a + rows]
+        centre = part.mean(axis=0)
+        out.append((slice(a, a + rows), centre, float(np.sqrt(((part - centre) ** 2).sum(axis=1).max()))))
+    return out
+
+
+def _checked(size: int, keep: int):
+    def run(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": np.empty(0, np.int64), "point": np.empty(0, np.int64), "score": np.empty(0)})
+        if not len(queries) or not len(points):
+            return empty
+        points = points.sort_values(["key", "point"])
+        q = np.frombuffer(b"".join(queries["vec"]), dtype=np.float64).reshape(-1, size)
+        x = np.frombuffer(b"".join(points["vec"]), dtype=np.float64).reshape(-1, size)
+        least, names, ids = queries["least"].to_numpy(), queries["query"].to_numpy(), points["point"].to_numpy()
+        slack = 1e-9 * (1 + np.abs(least))
+        length = np.sqrt((q * q).sum(axis=1))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows, centre, radius in _block_bounds(x):
+            may = np.flatnonzero(q @ centre + length * radius >= least - slack)
+            if len(may):
+                reach = q[may] @ x[rows].T >= (least - slack)[may, None]
+                a, b = np.nonzero(reach)
+                found.append((may[a], b + rows.start))
+        if not found:
+            return empty
+        a, b = (np.concatenate(c) for c in zip(*found))
+        out = []
+        for i in range(0, len(a), 1 << 16):
+            out.append(exact_scores(q[a[i : i + (1 << 16)]], x[b[i : i + (1 << 16)]]))
+        frame = pd.DataFrame({"query": names[a], "point": ids[b], "score": np.concatenate(out)})
+        frame = frame.sort_values(["query", "score", "point"], ascending=[True, False, True])
+        return frame.groupby("query", sort=False).head(keep)
+
+    return run
+
+
+def neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS, check: bool = True, curves: int = CURVES, window: int = WINDOW, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest rows of each row that `is_query`
+    (a Column over id_col) marks, by largest inner product in double precision, ties to smaller ids.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do
+    vectors of another length than most (no inner product is defined). Rows that repeat an id and
+    a vector count once; a query never finds its own id. Fewer candidates give fewer rows, an
+    empty table none.
+    """
+    spark = vectors.sparkSession
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding")).mapInArrow(_packed, "vec_id long, size int, norm double, vec binary").withColumn("is_query", is_query))
+    common = rows.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy(F.desc("n"), "size").first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if common is None:
+        return spark.createDataFrame([], schema)
+    size, keep, parts = int(common["size"]), k + 1, shuffle_partitions(spark)
+    rows = rows.where(F.col("size") == size)
+    #: Per vector, its least k + 1 ids: limited before the shuffle, so copies do not gather.
+    limited = rows.select("vec", "vec_id").withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= keep)
+    folded = limited.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("ids"))
+    asked = rows.where("is_query").select("vec").distinct().withColumn("asks", F.lit(True))
+    points = cut(folded.join(asked, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", "ids", F.coalesce("asks", F.lit(False)).alias("asks")))
+    sample = points.select("vec", F.xxhash64("point").alias("h"), "point").orderBy("h", "point").limit(SAMPLE).collect()  # bounded
+    grid = Curves(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype=np.float64).reshape(-1, size), float(common["longest"]), curves)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec, asks = _matrix(batch.column(1), size), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for query in (False, True):
+                mine = pa.array(np.flatnonzero(asks) if query else np.arange(len(asks)))
+                if not len(mine):
+                    continue
+                some = batch.take(mine)
+                for c, keys in enumerate(grid.keys(vec[mine.to_numpy()], query)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), c, dtype=np.int32)), pa.array(keys), some.column(0), pa.array(np.full(len(mine), query)), some.column(1)], names=["curve", "key", "point", "query", "vec"])
+
+    placed = points.select("point", "vec", "asks").mapInArrow(keyed, "curve int, key long, point long, query boolean, vec binary")
+    placed = cut(placed)
+    run = placed.repartitionByRange(parts, "curve", "key", "point").sortWithinPartitions("curve", "key", "point", "query")
+    best = cut(_best(run.mapInArrow(_windows(size, keep, window), "query long, point long, score double"), keep))
+    if check:
+        best = _best(best.unionByName(_check(points, placed, best, size, keep)), keep)
+    held = points.select("point", "ids")
+    listed = best.join(held, "point").select("query", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = listed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("top"))
+    names = points.where("asks").select("vec", F.col("point").alias("query"))
+    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "vec").distinct().join(names, "vec").select("query_id", "query")
+    found = queries.join(top, "query").select("query_id", F.filter("top", lambda t: t["vec_id"] != F.col("query_id")).alias("top"))
+    return found.select("query_id", F.posexplode(F.slice("top", 1, k)).alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
+
+
+def _check(points: DataFrame, placed: DataFrame, best: DataFrame, size: int, keep: int) -> DataFrame:
+    """Points that reach the score of each query's last neighbour: the stated queries against all
+    points, in blocks of both."""
+    n, asked = points.count(), points.where("asks").count()
+    blocks, groups = max(1, -(-n // POINT_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    last = best.groupBy("query").agg(F.when(F.count("*") >= keep, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+    ordered = placed.where("curve = 0 and not query").select("point", "key", "vec").repartitionByRange(blocks, "key", "point").withColumn("block", F.spark_partition_id())
+    spread = ordered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = points.where("asks").select(F.col("point").alias("query"), "vec").join(last, "query", "left").select("query", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return queries.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInPandas(_checked(size, keep), "query long, point long, score double")
+
+
+#: DuckDB SQL for the registered query; scores add up in the order of `exact_scores`.
+ORACLE = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, p.vec_id as vec_id, list_reduce(list_transform(range(1, len(p.e) + 1), lambda i: q.e[i] * p.e[i]), lambda a, b: a + b, cast(0 as double)) as score
+  from v q, v p where q.vec_id % 20 = 0 and p.vec_id <> q.vec_id and len(p.e) = len(q.e)),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 20
+"""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftwell.llm.ann import ORACLE as ANN_SQL
+from siftwell.llm.ann import neighbours
 from siftwell.llm.common import table
 from siftwell.llm.decontam import ORACLE as CONTAMINATION_SQL
 from siftwell.llm.decontam import contamination
@@ -17,6 +20,11 @@ from siftwell.llm.simhash import near_duplicates
 from siftwell.llm.toxicity import toxicity
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose vec_id is divisible by 20."""
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -53,6 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
@@ -64,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op1_ann": ANN_SQL,
     "op8_decontamination": CONTAMINATION_SQL,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import cut, shuffle_partitions
+from siftwell.llm.hilbert import hilbert_index
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
@@ -27,38 +28,6 @@ ROW_BYTES = 16
 WHOLE_SHARE = 0.02
 
 
-def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Hilbert curve index of integer points, one row each, coordinates below 2^bits.
-
-    The transposed form of the index is made in place, one bit level of all points at a time
-    (inverse undo, then Gray encoding), and its bits are interleaved at the end.
-    """
-    x = cells.astype(np.uint64).T.copy()
-    n, one = len(x), np.uint64(1)
-    level = np.uint64(1) << np.uint64(bits - 1)
-    while level > one:
-        below = level - one
-        for i in range(n):
-            high = (x[i] & level) != 0
-            swap = np.where(high, np.uint64(0), (x[0] ^ x[i]) & below)
-            x[0] ^= np.where(high, below, np.uint64(0)) ^ swap
-            x[i] ^= swap
-        level >>= one
-    for i in range(1, n):
-        x[i] ^= x[i - 1]
-    turn = np.zeros_like(x[0])
-    level = np.uint64(1) << np.uint64(bits - 1)
-    while level > one:
-        turn ^= np.where((x[n - 1] & level) != 0, level - one, np.uint64(0))
-        level >>= one
-    x ^= turn
-    index = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(n):
-            index = (index << one) | ((x[i] >> np.uint64(b)) & one)
-    return index
-
-
 def _cells(df: DataFrame, dims: list[str], bits: int) -> list["F.Column"]:
     """A cell number for each dimension; null is cell 0."""
     kinds = dict(df.dtypes)
@@ -98,7 +67,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("lang"
 
     @F.pandas_udf("long")
     def curve(*cells: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits).astype(np.int64))
+        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
     keyed = rows.withColumn("hilbert", curve(*_cells(slim, list(dims), bits)))
     order = ["hilbert", "_lead", "_text", "doc_id"]

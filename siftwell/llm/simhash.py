@@ -220,5 +220,6 @@ def drop_near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return left
-    once = left.join(again, left["doc_id"] == F.col("_again"), "left_semi").orderBy(F.xxhash64("text")).dropDuplicates(["doc_id"])
+    repeated = left.join(again, left["doc_id"] == F.col("_again"), "left_semi")
+    once = repeated.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_order"), *docs.columns)).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
     return left.join(again, left["doc_id"] == F.col("_again"), "left_anti").unionByName(once)
