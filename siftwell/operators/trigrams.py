@@ -1,0 +1,105 @@
+"""The trigram index: postings(trigram, file_id) and indexed(file_id) as DataFrames."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siftwell.functions.text import binary_name, decoded, fold, indexable
+from siftwell.plans.planner import All, Plan
+
+
+def trigrams_of(text: Column, ignore_case: bool = True) -> Column:
+    """The distinct trigrams of a text, across line ends; none below three characters."""
+    return F.array_distinct(F.regexp_extract_all(fold(text) if ignore_case else text, F.lit("(?s)(?=(...))"), 1))
+
+
+def text_of(files: DataFrame) -> Column:
+    """The content column as text, whether it is stored as text or bytes."""
+    return decoded(F.col("content")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings and the ids whose content they cover."""
+
+    postings: DataFrame
+    indexed: DataFrame
+
+    def has(self, file_id: int) -> bool:
+        return not self.indexed.where(F.col("file_id") == file_id).isEmpty()
+
+    def size(self) -> int:
+        return self.indexed.count()
+
+
+def indexable_files(files: DataFrame) -> DataFrame:
+    alive = F.col("alive") if "alive" in files.columns else F.lit(True)
+    return files.where(alive & indexable(F.col("path"), F.col("size")))
+
+
+def build(files: DataFrame, arrange: bool = True) -> Index:
+    """Explodes each indexable file's distinct trigrams. With `arrange`, postings are range-partitioned
+    and sorted by trigram, so that a stored index is skipped by row-group statistics; a trigram that
+    most files hold spans several ranges because file_id takes part in the range."""
+    own = indexable_files(files)
+    postings = own.select("file_id", F.explode(trigrams_of(text_of(files))).alias("trigram")).select("trigram", "file_id")
+    if arrange:
+        postings = postings.repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id")
+    return Index(postings, own.select("file_id"))
+
+
+def remove(index: Index, gone: DataFrame) -> Index:
+    """Without the files of `gone` (file_id); ids that are not there change nothing."""
+    ids = gone.select("file_id").distinct()
+    return Index(index.postings.join(ids, "file_id", "left_anti").select("trigram", "file_id"), index.indexed.join(ids, "file_id", "left_anti"))
+
+
+def add(index: Index, files: DataFrame) -> Index:
+    """Adds or replaces files: stale postings of the same ids go first."""
+    left, new = remove(index, files), build(files, arrange=False)
+    return Index(left.postings.unionByName(new.postings), left.indexed.unionByName(new.indexed))
+
+
+def by_file(index: Index) -> DataFrame:
+    """file_id and its sorted trigrams: the forward form that is stored."""
+    return index.postings.groupBy("file_id").agg(F.sort_array(F.collect_set("trigram")).alias("trigrams"))
+
+
+def frequencies(index: Index) -> DataFrame:
+    """trigram, df: in how many files each trigram is."""
+    return index.postings.groupBy("trigram").agg(F.count("*").alias("df"))
+
+
+def candidates(index: Index, plan: Plan, rarest: DataFrame | None = None, demand: int = 8) -> DataFrame | None:
+    """file_id of the files that may match, each once; None when nothing narrows.
+
+    A trigram that no file has gives an empty result. With `rarest` (a frequency table), only the
+    `demand` rarest of the required trigrams are asked for: still a superset of the matches.
+    """
+    if isinstance(plan, All):
+        return None
+    narrowed: list[DataFrame] = []
+    if plan.trigrams:
+        wanted = sorted(plan.trigrams)
+        if rarest is not None and len(wanted) > demand:
+            known = {r["trigram"]: r["df"] for r in rarest.where(F.col("trigram").isin(wanted)).collect()}  # a row a required trigram
+            wanted = sorted(wanted, key=lambda t: (known.get(t, 0), t))[:demand]
+        hits = index.postings.where(F.col("trigram").isin(wanted))
+        narrowed.append(hits.groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(wanted)).select("file_id") if len(wanted) > 1 else hits.select("file_id").distinct())
+    for branch in plan.either:
+        found = [candidates(index, p, rarest, demand) for p in branch]
+        if all(f is not None for f in found):
+            narrowed.append(reduce(DataFrame.unionByName, found).distinct())
+    if not narrowed:
+        return None
+    return reduce(lambda a, b: a.join(b, "file_id", "left_semi"), narrowed)
+
+
+def with_unindexed(found: DataFrame, index: Index, files: DataFrame) -> DataFrame:
+    """Adds the files that no index covers (too large, empty) and that are no binaries by name."""
+    missing = files.where(~binary_name(F.col("path"))).join(index.indexed, "file_id", "left_anti").select("file_id")
+    return found.unionByName(missing).distinct()

@@ -1,10 +1,432 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+Each query runs an operator over whole tables; the recipes that turn the tables into files,
+touches and snapshots are in `siftwell.sources.tree` and below.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions import score, text
+from siftwell.formatting import shown_line
+from siftwell.operators import find, frecency, grep, maintain, trigrams
+from siftwell.plans import planner
+from siftwell.sources.ignore import ignored, parse_rules
+from siftwell.sources.tree import from_documents, from_pages, keep
+
+#: Fixed value: the clock of every query, 2024-01-31T00:00:00Z.
+NOW = 1_706_659_200_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(make):
+        QUERIES[make.__name__] = make
+        if sql is not None:
+            ORACLES[make.__name__] = sql
+        return make
+
+    return put
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), NOW)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as touches of documents: event e touches document e modulo their number."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.count()
+    named = documents(spark, sf_dir).select(F.col("file_id").alias("_id"), "path")
+    made = events.select((F.col("event_id") % n).alias("_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "user_id")
+    return made.join(named, "_id").select("path", "at_ms", "user_id")
+
+
+DOCS_SQL = f"""docs as (select doc_id as file_id, 'docs/' || lang || '/' || source || '/doc_' || doc_id || '.txt' as path, strlen(text) as size,
+  {NOW} - (doc_id * 3571 % 1209600) * 1000 as mtime_ms, text as content from documents)"""
+PAGES_SQL = "site as (select page_id as file_id, regexp_replace(url, '^https?://', '') as path, html as content from pages)"
+TOUCHES_SQL = f"""touches as (select path, epoch_us(cast(ts as timestamp)) // 1000 as at_ms, user_id from events join docs on docs.file_id = event_id % (select count(*) from documents))"""
+LINES_SQL = "lines as (select file_id, path, unnest(string_split_regex(content, '\\r?\\n')) as text, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) as line from docs)"
+
+
+def _hits_sql(condition: str, start: str, stop: str, tail: str = "") -> str:
+    return f"with {DOCS_SQL}, {LINES_SQL} select path, cast(line as integer) as line, text, cast({start} as integer) as start, cast({stop} as integer) as stop from lines where {condition} {tail}"
+
+
+# ---- line search ----------------------------------------------------------------------------
+
+_TION = _hits_sql("contains(lower(text), 'tion')", "instr(lower(text), 'tion') - 1", "instr(lower(text), 'tion') + 3")
+
+
+@query(_TION)
+def grep_literal(spark, sf_dir):
+    """All lines that hold a literal in any case."""
+    return grep.grep_lines(documents(spark, sf_dir), "TION")
+
+
+@query(_hits_sql("contains(text, 'The')", "instr(text, 'The') - 1", "instr(text, 'The') + 2"))
+def grep_literal_cs(spark, sf_dir):
+    """The same with case."""
+    return grep.grep_lines(documents(spark, sf_dir), "The", ignore_case=False)
+
+
+@query(_hits_sql("contains(lower(text), 'éau')", "instr(lower(text), 'éau') - 1", "instr(lower(text), 'éau') + 2"))
+def grep_literal_accent(spark, sf_dir):
+    """A literal beyond ASCII."""
+    return grep.grep_lines(documents(spark, sf_dir), "ÉAU")
+
+
+_LICENSED = _hits_sql("contains(lower(text), 'licensed under')", "instr(lower(text), 'licensed under') - 1", "instr(lower(text), 'licensed under') + 13")
+
+
+@query(_LICENSED)
+def grep_narrowed(spark, sf_dir):
+    """A literal search narrowed by the index: the same answer as without it."""
+    files = documents(spark, sf_dir)
+    return grep.grep_lines(files, "Licensed under", index=trigrams.build(files, arrange=False))
+
+
+@query(_LICENSED)
+def grep_narrowed_rarest(spark, sf_dir):
+    """The same, asking only for the rarest of the required trigrams."""
+    files = documents(spark, sf_dir)
+    index = trigrams.build(files, arrange=False)
+    return grep.grep_lines(files, "Licensed under", index=index, rarest=trigrams.frequencies(index))
+
+
+_REGEX = "(?:rel|L)[ei]+(?:as|cens)ed under (?:the|CC) [A-Z]+"
+
+
+def _regex_sql(pattern: str, flags: str) -> str:
+    found = f"regexp_extract(text, '{pattern}', 0, '{flags}')"
+    return _hits_sql(f"regexp_matches(text, '{pattern}', '{flags}')", f"instr(text, {found}) - 1", f"instr(text, {found}) - 1 + length({found})")
+
+
+@query(_regex_sql("[a-z]+tion[.,]", "i"))
+def grep_regex(spark, sf_dir):
+    """All lines that a regular expression matches in any case."""
+    return grep.grep_lines(documents(spark, sf_dir), "[a-z]+tion[.,]", "regex")
+
+
+@query(_regex_sql(_REGEX, "i"))
+def grep_regex_narrowed(spark, sf_dir):
+    """A regular expression with choices, narrowed by the index."""
+    files = documents(spark, sf_dir)
+    return grep.grep_lines(files, _REGEX, "regex", index=trigrams.build(files, arrange=False))
+
+
+@query(_regex_sql("(MIT|Apache) License", "c"))
+def grep_regex_cs(spark, sf_dir):
+    """A case-sensitive regular expression through the folded index."""
+    files = documents(spark, sf_dir)
+    return grep.grep_lines(files, "(MIT|Apache) License", "regex", ignore_case=False, index=trigrams.build(files, arrange=False))
+
+
+@query()
+def grep_fuzzy(spark, sf_dir):
+    """Lines that hold something like a word."""
+    return grep.grep_lines(documents(spark, sf_dir), "licenced undr", "fuzzy")
+
+
+@query(_hits_sql("contains(lower(text), 'tion') and contains(path, '/en/')", "instr(lower(text), 'tion') - 1", "instr(lower(text), 'tion') + 3"))
+def grep_glob(spark, sf_dir):
+    """A search within some paths."""
+    return grep.grep_lines(documents(spark, sf_dir), "tion", glob="*/en/*")
+
+
+@query(f"select path, line, text, start, stop from ({_TION}) order by path, line limit 20 offset 40")
+def grep_page_3(spark, sf_dir):
+    """The third page of a search."""
+    return grep.grep(documents(spark, sf_dir), "tion", cursor="40").items
+
+
+@query(f"with h as ({_TION}) select cast(count(*) as bigint) as total, cast(least(count(*), 60) as varchar) as cursor, true as exact from h")
+def grep_total(spark, sf_dir):
+    """Total, cursor and exactness of a page."""
+    page = grep.grep(documents(spark, sf_dir), "tion", cursor="40")
+    return spark.createDataFrame([(page.total, page.cursor, page.exact)], "total bigint, cursor string, exact boolean")
+
+
+@query("select cast(21 as bigint) as total, '20' as cursor, false as exact")
+def grep_early_stop(spark, sf_dir):
+    """A bounded total: one hit more than the page needs."""
+    page = grep.grep(documents(spark, sf_dir), "tion", early_stop=True)
+    return spark.createDataFrame([(page.total, page.cursor, page.exact)], "total bigint, cursor string, exact boolean")
+
+
+@query(f"""with {DOCS_SQL}, {LINES_SQL} select path || ':' || line || ': ' || case when length(t) > 200 then left(t, 200) || '… (line truncated — read the file for the rest)' else t end as shown
+  from (select path, line, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from lines where contains(lower(text), 'licensed'))""")
+def grep_shown(spark, sf_dir):
+    """Matches as they are shown."""
+    hits = grep.grep_lines(documents(spark, sf_dir), "licensed")
+    return hits.select(shown_line(F.col("path"), F.col("line"), F.col("text")).alias("shown"))
+
+
+@query("select conv_id, turn, cast(instr(lower(text), 'the') - 1 as integer) as start from conversations where contains(lower(text), 'the')")
+def match_turns(spark, sf_dir):
+    """The matcher over another relation: turns that hold a literal."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    return grep.match_lines(turns, "the").select("conv_id", "turn", "start")
+
+
+# ---- trigram index --------------------------------------------------------------------------
+
+_POST = f"""{DOCS_SQL}, post as (select distinct file_id, unnest(list_transform(range(1, greatest(len(content) - 1, 1)), lambda i: substr(content, i, 3))) as trigram
+  from (select file_id, lower(content) as content from docs))"""
+#: Splitting into characters first keeps the SQL linear in long texts.
+_CHARS = f"""{DOCS_SQL}, c as (select file_id, regexp_extract_all(lower(content), '(?s).') as c from docs),
+post as (select distinct file_id, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) as trigram from c)"""
+
+
+@query(f"with {_CHARS} select trigram, cast(count(*) as bigint) as df from post group by trigram")
+def trigram_frequencies(spark, sf_dir):
+    """In how many files each trigram is."""
+    return trigrams.frequencies(trigrams.build(documents(spark, sf_dir), arrange=False))
+
+
+@query(f"with {_CHARS} select file_id, cast(count(*) as bigint) as n, md5(string_agg(trigram, '' order by trigram)) as digest from post group by file_id")
+def trigram_forward(spark, sf_dir):
+    """The forward form: each file's sorted trigrams."""
+    forward = trigrams.by_file(trigrams.build(documents(spark, sf_dir), arrange=False))
+    return forward.select("file_id", F.size("trigrams").cast("bigint").alias("n"), F.md5(F.array_join("trigrams", "").cast("binary")).alias("digest"))
+
+
+@query(f"with {_CHARS} select file_id from post where trigram in ('lic', 'ice', 'cen', 'ens', 'nse') group by file_id having count(*) = 5")
+def candidates_and(spark, sf_dir):
+    """Files that hold every required trigram."""
+    return trigrams.candidates(trigrams.build(documents(spark, sf_dir), arrange=False), planner.for_literal("LICENSE"))
+
+
+@query(f"""with {_CHARS} select file_id from (select file_id from post where trigram in ('mit', 'it ', 't l') group by file_id having count(*) = 3
+  union select file_id from post where trigram in ('apa', 'pac', 'ach', 'che') group by file_id having count(*) = 4)""")
+def candidates_or(spark, sf_dir):
+    """Files that hold all trigrams of either choice."""
+    return trigrams.candidates(trigrams.build(documents(spark, sf_dir), arrange=False), planner.for_regex("mit l|apache"))
+
+
+@query(f"with {DOCS_SQL} select file_id from docs where file_id % 3 <> 0 or contains(lower(content), 'license')")
+def unindexed_union_back(spark, sf_dir):
+    """Candidates with the files that no index covers added back, verified for the indexed ones."""
+    files = documents(spark, sf_dir)
+    index = trigrams.build(files.where("file_id % 3 = 0"), arrange=False)
+    found = trigrams.candidates(index, planner.for_literal("license"))
+    pool = trigrams.with_unindexed(found, index, files)
+    return files.join(pool, "file_id", "left_semi").where((F.col("file_id") % 3 != 0) | F.lower("content").contains("license")).select("file_id")
+
+
+@query(f"with {_CHARS} select trigram, cast(count(*) as bigint) as df from post where file_id % 4 <> 1 group by trigram")
+def index_remove(spark, sf_dir):
+    """Postings after some files were forgotten."""
+    files = documents(spark, sf_dir)
+    return trigrams.frequencies(trigrams.remove(trigrams.build(files, arrange=False), files.where("file_id % 4 = 1")))
+
+
+@query(f"""with {_CHARS}, z as (select file_id, unnest(list_transform(range(1, len(x) - 1), lambda i: x[i : i + 2])) as trigram from (select file_id, 'new words' as x from docs where file_id % 5 = 2))
+select trigram, cast(count(*) as bigint) as df from (select file_id, trigram from post where file_id % 5 <> 2 union all select distinct file_id, trigram from z) group by trigram""")
+def index_replace(spark, sf_dir):
+    """Postings after some files were added again with other content: stale ones are gone."""
+    files = documents(spark, sf_dir)
+    changed = files.where("file_id % 5 = 2").withColumns({"content": F.lit("new words"), "size": F.lit(9).cast("long")})
+    return trigrams.frequencies(trigrams.add(trigrams.build(files, arrange=False), changed))
+
+
+# ---- path lookup ----------------------------------------------------------------------------
+
+
+def _find_sql(source: str, query_text: str, extra: str = "0", columns: str = "path, score, positions, typos") -> str:
+    chars = ", ".join(f"'{c}'" for c in query_text)
+    budget = score.typo_budget(query_text)
+    state = "{'at': cast(0 as bigint), 'typos': 0, 'pos': cast([] as bigint[])}"
+    step = "case when instr(substr(lp, s.at + 1), c) > 0 then {'at': s.at + instr(substr(lp, s.at + 1), c), 'typos': s.typos, 'pos': list_append(s.pos, s.at + instr(substr(lp, s.at + 1), c))} else {'at': s.at, 'typos': s.typos + 1, 'pos': s.pos} end"
+    return f"""m as (select *, regexp_extract(path, '[^/]*$') as name from (select *, list_reduce(list_prepend({state}, list_transform([{chars}], lambda c: {{'at': cast(ascii(c) as bigint), 'typos': 0, 'pos': cast([] as bigint[])}})),
+  lambda s, k: {step.replace("c)", "chr(cast(k.at as integer)))")}) as s from (select *, lower(path) as lp from {source}))),
+n as (select *, s.pos as pos, s.typos as typos, lower(name) as ln, regexp_replace(lower(name), '^(.+)\\.[^.]*$', '\\1') as stem from m where s.typos <= {budget} and len(s.pos) > 0),
+scored as (select *, cast(case when ln = '{query_text}' then 300 when stem = '{query_text}' then 200 when starts_with(ln, '{query_text}') then 120 when contains(ln, '{query_text}') then 60 else 0 end
+  + 12 * len(list_filter(range(2, len(pos) + 1), lambda i: pos[i] = pos[i - 1] + 1))
+  + 18 * len(list_filter(pos, lambda p: p = 1 or substr(path, p - 1, 1) in ('/', '_', '-', '.') or (substr(path, p - 1, 1) = lower(substr(path, p - 1, 1)) and substr(path, p, 1) <> lower(substr(path, p, 1)))))
+  - 2 * least(pos[1] - 1, 40) - 40 * typos - 3 * (length(path) - length(replace(path, '/', ''))) + {extra} as integer) as score, array_to_string(list_transform(pos, lambda p: p - 1), ',') as positions from n)
+"""
+
+
+_RECENCY = f"""case when mtime_ms is null or mtime_ms = 0 then 0 when ({NOW} - mtime_ms) / 1000.0 < 120 then 16 when ({NOW} - mtime_ms) / 1000.0 < 900 then 8 when ({NOW} - mtime_ms) / 1000.0 < 3600 then 4
+  when ({NOW} - mtime_ms) / 1000.0 < 86400 then 2 when ({NOW} - mtime_ms) / 1000.0 < 604800 then 1 else 0 end"""
+
+
+def _shown(scored: DataFrame) -> DataFrame:
+    return scored.select("path", "score", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"with {PAGES_SQL}, {_find_sql('site', 'exmpl/frr')} select path, score, positions from scored")
+def find_score(spark, sf_dir):
+    """Scores and positions of a query with typos over the pages' addresses."""
+    return _shown(find.score_paths(pages(spark, sf_dir), "exmpl/frr", NOW))
+
+
+@query(f"with {DOCS_SQL}, {_find_sql('docs', 'doc_12', _RECENCY)} select path, score, positions from scored order by score desc, path limit 20 offset 20")
+def find_page(spark, sf_dir):
+    """The second page of a lookup over documents."""
+    page = find.find(documents(spark, sf_dir), "doc_12", NOW, cursor="20")
+    return _shown(page.items)
+
+
+@query(f"with {DOCS_SQL} select path, cast({_RECENCY} as integer) as score from docs order by score desc, path limit 50")
+def find_empty_query(spark, sf_dir):
+    """An empty query lists what is recent."""
+    return find.find(documents(spark, sf_dir), "", NOW, limit=50).items.select("path", "score")
+
+
+_FRECENCY = f"""frec as (select path, cast(least(200, floor(sum(case when ({NOW} - at_ms) / 86400000.0 between 0 and 7 then exp(-0.231 * (({NOW} - at_ms) / 86400000.0)) else 0 end) * 25 + 0.5)) as integer) as frecency from touches group by path)"""
+
+
+@query(f"""with {DOCS_SQL}, {TOUCHES_SQL}, {_FRECENCY}, known as (select docs.*, frecency from docs left join frec using (path)), {_find_sql('known', 'src1/doc', _RECENCY + ' + coalesce(frecency, 0)')}
+select path, score, positions from scored""")
+def find_frecency(spark, sf_dir):
+    """A lookup in which access history counts."""
+    history = frecency.frecency(touches(spark, sf_dir), NOW)
+    return _shown(find.score_paths(documents(spark, sf_dir), "src1/doc", NOW, history))
+
+
+@query(f"with {DOCS_SQL} select path, cast({_RECENCY} as integer) as boost from docs")
+def recency_tiers(spark, sf_dir):
+    """Boosts by age."""
+    return documents(spark, sf_dir).select("path", score.recency_boost(F.col("mtime_ms"), NOW).cast("int").alias("boost"))
+
+
+@query(f"with {DOCS_SQL} select path, cast(case file_id % 4 when 0 then 24 when 1 then 20 when 2 then 12 else 0 end as integer) as boost from docs")
+def git_boost(spark, sf_dir):
+    """Boosts by git status."""
+    state = F.element_at(F.array(F.lit("modified"), F.lit("staged"), F.lit("untracked"), F.lit(None)), (F.col("file_id") % 4 + 1).cast("int"))
+    return documents(spark, sf_dir).select("path", score.git_boost(state).cast("int").alias("boost"))
+
+
+# ---- access history -------------------------------------------------------------------------
+
+
+@query(f"with {DOCS_SQL}, {TOUCHES_SQL}, {_FRECENCY} select path, frecency from frec")
+def frecency_decayed(spark, sf_dir):
+    """The decayed number of every path."""
+    return frecency.frecency(touches(spark, sf_dir), NOW)
+
+
+@query(f"with {DOCS_SQL}, {TOUCHES_SQL} select path, cast(least(200, 25 * count(*)) as integer) as frecency from touches group by path")
+def frecency_native(spark, sf_dir):
+    """The number without decay."""
+    return frecency.frecency_undecayed(touches(spark, sf_dir))
+
+
+@query(f"""with {DOCS_SQL}, {TOUCHES_SQL} select path, at_ms from (select path, at_ms, row_number() over (partition by path order by at_ms desc) as n from touches where at_ms >= {NOW} - 7 * 86400000) where n <= 128""")
+def history_prune(spark, sf_dir):
+    """History without what is too old."""
+    return frecency.prune(touches(spark, sf_dir), NOW).select("path", "at_ms")
+
+
+@query(f"""with {DOCS_SQL}, {TOUCHES_SQL} select path, at_ms from (select path, at_ms, row_number() over (partition by path order by at_ms desc) as n from (select distinct path, at_ms from touches)) where n <= 128""")
+def history_merge(spark, sf_dir):
+    """Two histories as one."""
+    all_touches = touches(spark, sf_dir)
+    return frecency.merge(all_touches.where("user_id % 2 = 0"), all_touches.where("user_id % 2 = 1"))
+
+
+@query(f"""with {DOCS_SQL}, {TOUCHES_SQL} select path, len(t) as n, t[1] as first, t[len(t)] as last from (select path, list(at_ms order by at_ms) as t from touches group by path)""")
+def history_json_round_trip(spark, sf_dir):
+    """History through its JSON form and back."""
+    wide = frecency.to_wide(touches(spark, sf_dir)).select(F.to_json(F.create_map("path", "times")).alias("raw"))
+    back = frecency.to_wide(frecency.from_wide(wide.select(frecency.parse(F.col("raw")).alias("history"))))
+    return back.select("path", F.size("times").cast("bigint").alias("n"), F.col("times")[0].alias("first"), F.element_at("times", -1).alias("last"))
+
+
+# ---- scan filters ---------------------------------------------------------------------------
+
+_RULES = """
+# fixed rules of the query
+/docs/de
+*.html
+!keep.html
+src1?
+**/5*
+"""
+
+
+@query(f"""with {PAGES_SQL}, p as (select path, string_split(path, '/') as parts from site),
+a as (select path, list_transform(range(1, len(parts)), lambda n: array_to_string(parts[1:n], '/') || '/') as above from p)
+select path, (case when regexp_matches(path, '(^|/).*/5[^/]*(/|$)') then true when regexp_matches(path, '(^|/)src1[^/](/|$)') then true when regexp_matches(path, '(^|/)keep\\.html(/|$)') then false
+  when regexp_matches(path, '(^|/)[^/]*\\.html(/|$)') then true when regexp_matches(path, '^docs/de(/|$)') then true else false end)
+  or len(list_filter(above, lambda d: regexp_matches(d, '(^|/).*/5[^/]*(/|$)') or regexp_matches(d, '(^|/)src1[^/](/|$)') or (not regexp_matches(d, '(^|/)keep\\.html(/|$)') and (regexp_matches(d, '(^|/)[^/]*\\.html(/|$)') or regexp_matches(d, '^docs/de(/|$)'))))) > 0 as ignored from a""")
+def ignore_filter(spark, sf_dir):
+    """Ordered ignore rules over the pages' addresses."""
+    return pages(spark, sf_dir).select("path", ignored(F.col("path"), parse_rules(_RULES)).alias("ignored"))
+
+
+_BINARY = ", ".join(f"'{e}'" for e in text.BINARY_EXTENSIONS)
+_NAMED = """named as (select file_id, path || case file_id % 4 when 0 then '/.env' when 1 then '/A.TAR.GZ' when 2 then '/node_modules/x.js' else '' end as path from site)"""
+
+
+@query(f"""with {PAGES_SQL}, {_NAMED}, x as (select path, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]*)$', 1)) as ext, regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1') as stem from named)
+select path, ext, stem, ext in ({_BINARY}) as is_binary, cast(length(path) - length(replace(path, '/', '')) as integer) as depth, contains(path, '/node_modules/') as skipped from x""")
+def path_parts(spark, sf_dir):
+    """Extension, stem, binary names, depth and skipped directories."""
+    tail = F.when(F.col("file_id") % 4 == 0, "/.env").when(F.col("file_id") % 4 == 1, "/A.TAR.GZ").when(F.col("file_id") % 4 == 2, "/node_modules/x.js").otherwise("")
+    path = F.col("path")
+    named = pages(spark, sf_dir).select(F.concat("path", tail).alias("path"))
+    return named.select("path", text.extension(path).alias("ext"), text.stem(path).alias("stem"), text.binary_name(path).alias("is_binary"), text.depth(path).cast("int").alias("depth"), text.in_skipped_directory(path).alias("skipped"))
+
+
+@query(f"with {DOCS_SQL} select path, size > 0 and size <= 2097152 as indexable, size <= 10485760 as searchable, false as sniffed from docs")
+def content_filters(spark, sf_dir):
+    """Which files are indexed, searched, or binary by a look inside."""
+    path, size = F.col("path"), F.col("size")
+    return documents(spark, sf_dir).select("path", text.indexable(path, size).alias("indexable"), text.searchable(path, size).alias("searchable"), text.looks_binary(F.col("content")).alias("sniffed"))
+
+
+# ---- maintenance ----------------------------------------------------------------------------
+
+_OLD = f"{DOCS_SQL}, old as (select * from docs where file_id % 10 <> 0), new as (select * replace (size + case when file_id % 5 = 0 then 1 else 0 end as size) from docs where file_id % 7 <> 0)"
+
+
+def _snapshots(spark, sf_dir):
+    files = documents(spark, sf_dir)
+    return files.where("file_id % 10 <> 0"), files.where("file_id % 7 <> 0").withColumn("size", F.col("size") + F.when(F.col("file_id") % 5 == 0, 1).otherwise(0))
+
+
+@query(f"""with {_OLD} select coalesce(old.path, new.path) as path, coalesce(old.file_id, new.file_id) as file_id,
+  case when new.path is null then 'gone' when old.path is null then 'new' when old.size = new.size and old.mtime_ms = new.mtime_ms then 'same' else 'changed' end as status
+from old full outer join new on old.path = new.path""")
+def reconcile_status(spark, sf_dir):
+    """What happened to every path between two snapshots."""
+    return maintain.status(*_snapshots(spark, sf_dir))
+
+
+@query(f"with {_OLD} select new.path, old.path is not null as reused from new left join old on old.path = new.path and old.size = new.size and old.mtime_ms = new.mtime_ms")
+def reuse_split(spark, sf_dir):
+    """Which files keep their stored postings."""
+    old, new = _snapshots(spark, sf_dir)
+    return maintain.reuse(old, new).select("path", "reused")
+
+
+@query(f"with {_CHARS} select trigram, cast(count(*) as bigint) as df from post where file_id % 7 <> 0 group by trigram")
+def reconciled_postings(spark, sf_dir):
+    """Postings after reconciling: as if built from the new snapshot."""
+    old, new = _snapshots(spark, sf_dir)
+    index, _, _ = maintain.reconcile(trigrams.build(old, arrange=False), old, new)
+    return trigrams.frequencies(index)
+
+
+@query(f"with {DOCS_SQL} select path, file_id % 6 <> 1 as alive from docs")
+def forget_files(spark, sf_dir):
+    """Files after some were forgotten: dead, but still there."""
+    files = documents(spark, sf_dir)
+    _, marked = maintain.forget(trigrams.build(files, arrange=False), files.drop("content"), files.where("file_id % 6 = 1"))
+    return marked.select("path", "alive")

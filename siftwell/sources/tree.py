@@ -1,0 +1,78 @@
+"""A file tree as the relation `files`."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions.text import MAX_DEPTH, in_skipped_directory, included
+from siftwell.sources.ignore import Rule, ignored, parse_rules
+
+FILE_CAP = 200_000
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below `root`, which Spark may have written as a URI, relative to it."""
+    bare = root.rstrip("/")
+    plain = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*(?=/)", "")
+    want = bare.split("://", 1)[-1].removeprefix("file:")
+    return F.regexp_replace(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), "^.*?" + _quoted(want) + "/", "")
+
+
+def _quoted(text: str) -> str:
+    import re
+
+    return re.escape(text)
+
+
+def keep(files: DataFrame, rules: list[Rule] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Without skipped directories, ignored paths, hidden clutter and what lies too deep."""
+    path = F.col("path")
+    return files.where(~in_skipped_directory(path) & included(path) & ~ignored(path, list(rules)) & (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) <= max_depth))
+
+
+def capped(files: DataFrame, most: int | None) -> DataFrame:
+    """The first `most` files by path: the same set on every run. A top-k plan, not a full sort."""
+    return files if most is None else files.orderBy("path").limit(most)
+
+
+def read_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[Rule]:
+    """The rules of the root's ignore file; none if there is no such file."""
+    try:
+        text = "\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).collect())
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+    return parse_rules(text)
+
+
+def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth: int = MAX_DEPTH, rules: list[Rule] | None = None) -> DataFrame:
+    """file_id, path, size, mtime_ms, content (bytes), alive of the files below `root`.
+
+    Spark lists and reads the tree; names are judged before content is read. A file's id is a
+    hash of its path, so that a later scan gives an unchanged path the same id.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    named = raw.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    kept = keep(named, read_rules(spark, root) if rules is None else rules, max_depth)
+    if cap is not None:
+        chosen = capped(kept.select("path"), cap)
+        kept = kept.join(chosen, "path", "left_semi")
+    return kept.select(F.xxhash64("path").alias("file_id"), "path", "size", "mtime_ms", "content", F.lit(True).alias("alive"))
+
+
+def from_documents(documents: DataFrame, now_ms: int) -> DataFrame:
+    """`documents` as files: text under docs/language/source."""
+    path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return documents.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.octet_length("text").cast("long").alias("size"), (F.lit(now_ms) - (F.col("doc_id") * 3571 % 1_209_600) * 1000).alias("mtime_ms"), F.col("text").alias("content"), F.lit(True).alias("alive"))
+
+
+def from_pages(pages: DataFrame) -> DataFrame:
+    """`pages` as files: html under the address without its scheme."""
+    return pages.select(F.col("page_id").alias("file_id"), F.regexp_replace("url", "^https?://", "").alias("path"), F.octet_length("html").cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ms"), F.col("html").alias("content"), F.lit(True).alias("alive"))
+
+
+def first_of_each(files: DataFrame) -> DataFrame:
+    """One row a path: the one with the least id."""
+    return files.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("file_id"))).where("_n = 1").drop("_n")
