@@ -6,17 +6,17 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftwell import formatting
+from siftwell.functions.score import typo_budget  # noqa: F401  part of the interface
+from siftwell.materialise import cut
 from siftwell.operators import find as finding
 from siftwell.operators import frecency as history
 from siftwell.operators import grep as grepping
 from siftwell.operators import maintain
 from siftwell.operators.paging import Page
-from siftwell.operators.trigrams import build
+from siftwell.operators.trigrams import Index, build
 from siftwell.plans.planner import literal_runs  # noqa: F401  part of the interface
-from siftwell.functions.score import typo_budget  # noqa: F401  part of the interface
 from siftwell.sources import store
 from siftwell.sources.tree import scan
 
@@ -39,35 +39,46 @@ class SearchEngine:
         self._start()
 
     def _start(self) -> None:
-        self.files = self._read()
+        self._content = self._read()
         stored = store.load(self.spark, self.cache, self.root) if self.cache else None
         if stored is None:
-            self.index = build(self.files)
-            self._stats = maintain.Stats(0, self.files.count())
+            self._hold(build(self._content), self._content.drop("content"))
+            self._stats = maintain.Stats(0, self.file_count())
             changed = True
         else:
-            self.index, known, diff = maintain.reconcile(*stored, self.files)
-            self.files = self.files.drop("file_id").join(known.where("alive").select("path", "file_id"), "path")
-            self._stats = maintain.stats(diff)
-            changed = maintain.dirty(diff, stored=True)
+            changed = self._take_in(*stored)
         if self.cache and changed:
             self.save()
 
+    def _hold(self, index: Index, known: DataFrame) -> None:
+        """Index and metadata are written down: they must not be read again from a tree that moves on."""
+        self.index, self.known = Index(cut(index.postings), cut(index.indexed)), cut(known.select("file_id", "path", "size", "mtime_ms", "alive"))
+
+    def _take_in(self, index: Index, known: DataFrame) -> bool:
+        """Reconciles with the tree as `_content` lists it now."""
+        index, known, diff = maintain.reconcile(index, known, self._content)
+        diff = cut(diff)
+        self._hold(index, known)
+        self._stats = maintain.stats(diff)
+        return maintain.dirty(diff, stored=True)
+
+    @property
+    def files(self) -> DataFrame:
+        """Living files with their content, which each search reads anew."""
+        return self._content.drop("file_id", "alive").join(self.known.where("alive").select("path", "file_id", "alive"), "path")
+
     def save(self) -> None:
-        """Writes the index and reads it back, which also cuts the lineage."""
+        """Writes the index for the next start."""
         if not self.cache:
             raise ValueError("this engine has no cache")
-        store.save(self.index, self.files, self.cache, self.root)
-        loaded = store.load(self.spark, self.cache, self.root)
-        if loaded is not None:
-            self.index = loaded[0]
+        store.save(self.index, self.known.where("alive"), self.cache, self.root)
 
     def ready(self) -> bool:
         """A batch engine has its whole index from the start."""
         return True
 
     def find(self, query: str, limit: int = 20, cursor: str | None = None) -> Page:
-        return finding.find(self.files, query, self.now(), limit, cursor, history.frecency(self.touches, self.now()))
+        return finding.find(self.known, query, self.now(), limit, cursor, history.frecency(self.touches, self.now()))
 
     def grep(self, pattern: str, mode: str = "literal", ignore_case: bool = True, glob: str | None = None, limit: int = 20, cursor: str | None = None, early_stop: bool = False) -> Page:
         return grepping.grep(self.files, pattern, mode, ignore_case, self.index, glob, limit, cursor, early_stop)
@@ -77,29 +88,24 @@ class SearchEngine:
 
     def refresh(self, changed: DataFrame) -> None:
         """Takes whole rows (file_id, path, size, mtime_ms, content, alive) of created or changed files."""
-        known = self.files.select("path", F.col("file_id").alias("_known"))
-        rows = changed.join(known, "path", "left").withColumn("file_id", F.coalesce("_known", "file_id")).drop("_known")
-        self.index, _ = maintain.refresh(self.index, self.files.drop("content"), rows)
-        self.files = self.files.join(rows.select("path"), "path", "left_anti").unionByName(rows.select(*self.files.columns))
+        self._hold(*maintain.refresh(self.index, self.known, changed))
+        columns = [c for c in self._content.columns if c in changed.columns]
+        self._content = self._content.join(changed.select("path"), "path", "left_anti").select(*columns).unionByName(changed.select(*columns))
 
     def forget(self, path: str) -> None:
-        gone = self.spark.createDataFrame([(path,)], "path string")
-        self.index, _ = maintain.forget(self.index, self.files.drop("content"), gone)
-        self.files = self.files.withColumn("alive", F.col("alive") & (F.col("path") != path))
+        self._hold(*maintain.forget(self.index, self.known, self.spark.createDataFrame([(path,)], "path string")))
 
     def reconcile(self) -> maintain.Stats:
-        """Reads the tree again and takes in whatever changed."""
-        fresh = self._read()
-        self.index, known, diff = maintain.reconcile(self.index, self.files.drop("content"), fresh)
-        self.files = fresh.drop("file_id").join(known.where("alive").select("path", "file_id"), "path")
-        self._stats = maintain.stats(diff)
+        """Lists the tree again and takes in whatever changed; only that is read."""
+        self._content = self._read()
+        self._take_in(self.index, self.known)
         return self._stats
 
     def indexed(self) -> int:
         return self.index.size()
 
     def file_count(self) -> int:
-        return self.files.where("alive").count()
+        return self.known.where("alive").count()
 
     def stats(self) -> maintain.Stats:
         return self._stats

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,33 +50,55 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
         raise ValueError(f"Invalid regex pattern: {pattern}") from e
 
 
-def fuzzy_span(line: str, needle: str, budget: int) -> tuple[int, int] | None:
-    """Leftmost start from which the needle's characters follow in order, close together, with at
-    most `budget` missing: (start, end) or None."""
-    text, reach = line.lower(), max(3 * len(needle), len(needle) + 8)
-    for start in range(len(text)):
-        if budget == 0 and text[start] != needle[0]:
-            continue
-        at, missing = start, 0
-        for c in needle:
-            found = text.find(c, at, start + reach + 1)
-            if found < 0:
-                missing += 1
-                if missing > budget:
-                    break
-            else:
-                at = found + 1
-        if missing <= budget and missing < len(needle):
-            return start, min(at, len(text))
-    return None
-
-
-def _fuzzy(needle: str, budget: int):
+def fuzzy_spans(lines: list[str | None], needle: str, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines that hold something like `needle`: their numbers, starts and ends. From the leftmost
+    start that works, the needle's characters follow in order within a reach, at most `budget` of
+    them missing. All starts of all lines advance together, one needle character at a time."""
+    texts = [(t or "").lower() for t in lines]
+    reach = max(3 * len(needle), len(needle) + 8)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(codes)
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    place = np.arange(n, dtype=np.int32)
+    line = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    last = np.minimum(ends[line], place + np.int64(reach) + 1)  # the first place out of reach
+    following = {}
+    for c in set(needle):
+        at = np.append(np.where(codes == ord(c), place, np.int32(n)), np.int32(n))
+        following[c] = np.minimum.accumulate(at[::-1])[::-1]
+    at, missing = place.copy(), np.zeros(n, dtype=np.int16)
+    for c in needle:
+        found = following[c][at]
+        hit = found < last
+        at = np.where(hit, found + 1, at)
+        missing += ~hit
+    good = np.flatnonzero((missing <= budget) & (missing < len(needle)))
+    numbers, first = np.unique(line[good], return_index=True)
+    starts = good[first]
+    base = ends[numbers] - lengths[numbers]
+    return numbers.astype(np.int64), starts - base, at[starts] - base
+
+
+def _fuzzy(needle: str, budget: int, characters: int = 200_000):
     @F.pandas_udf("struct<start: int, stop: int>")
     def spans(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            found = [fuzzy_span(t, needle, budget) if t is not None else None for t in texts]
-            yield pd.DataFrame({"start": pd.array([f[0] if f else None for f in found], dtype="Int32"), "stop": pd.array([f[1] if f else None for f in found], dtype="Int32")})
+            lines = texts.tolist()
+            start, stop = np.full(len(lines), -1, dtype=np.int64), np.full(len(lines), -1, dtype=np.int64)
+            a = 0
+            while a < len(lines):
+                b, held = a, 0
+                while b < len(lines) and (b == a or held < characters):
+                    held += len(lines[b] or "")
+                    b += 1
+                numbers, starts, stops = fuzzy_spans(lines[a:b], needle, budget)
+                start[a + numbers], stop[a + numbers] = starts, stops
+                a = b
+            none = pd.Series(start < 0)
+            yield pd.DataFrame({"start": pd.Series(start).astype("Int32").mask(none), "stop": pd.Series(stop).astype("Int32").mask(none)})
 
     return spans
 

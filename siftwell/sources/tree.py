@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import MAX_DEPTH, in_skipped_directory, included
+from siftwell.functions.text import MAX_DEPTH, MAX_SEARCHABLE_BYTES, SKIP_DIRECTORIES, in_skipped_directory, included
 from siftwell.sources.ignore import Rule, ignored, parse_rules
 
 FILE_CAP = 200_000
+#: Most files with hidden names that are read through the driver.
+HIDDEN_CAP = 20_000
 
 
 def relative(path: Column, root: str) -> Column:
-    """A path below `root`, which Spark may have written as a URI, relative to it."""
-    bare = root.rstrip("/")
-    plain = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*(?=/)", "")
-    want = bare.split("://", 1)[-1].removeprefix("file:")
-    return F.regexp_replace(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), "^.*?" + _quoted(want) + "/", "")
-
-
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
+    """A path below `root`, which Spark may have written with a scheme, relative to it."""
+    bare = re.escape(root.rstrip("/").split("://", 1)[-1].removeprefix("file:"))
+    return F.regexp_replace(path, f"^.*?{bare}/", "")
 
 
 def keep(files: DataFrame, rules: list[Rule] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -38,23 +34,57 @@ def capped(files: DataFrame, most: int | None) -> DataFrame:
 
 def read_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[Rule]:
     """The rules of the root's ignore file; none if there is no such file."""
+    content = _read(spark, f"{root.rstrip('/')}/{name}")
+    return [] if content is None else parse_rules(content.decode("utf-8", "replace"))
+
+
+def _read(spark: SparkSession, path: str) -> bytes | None:
+    """A small file through Hadoop's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
     try:
-        text = "\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).collect())
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
-    return parse_rules(text)
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def _hidden(spark: SparkSession, root: str, max_depth: int) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Files (path, size, time) and directories whose names start with a dot or an underscore: Spark's
+    file sources pass over those. Found by one glob a level, in the JVM; skipped ones are left out."""
+    files, folders, base = [], [], root.rstrip("/")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for level in range(max_depth + 1):
+        if not len(fs.globStatus(fs_path(base + "/*" * (level + 1))) or []):
+            break
+        for status in fs.globStatus(fs_path(base + "/*" * level + "/[._]*")) or []:
+            path = status.getPath().toString()
+            if not any(part in SKIP_DIRECTORIES for part in path.removeprefix(base).split("/")):
+                if status.isDirectory():
+                    folders.append(path)
+                elif len(files) < HIDDEN_CAP:
+                    files.append((path, status.getLen(), status.getModificationTime()))
+    return files, folders
 
 
 def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth: int = MAX_DEPTH, rules: list[Rule] | None = None) -> DataFrame:
     """file_id, path, size, mtime_ms, content (bytes), alive of the files below `root`.
 
-    Spark lists and reads the tree; names are judged before content is read. A file's id is a
-    hash of its path, so that a later scan gives an unchanged path the same id.
+    Spark lists and reads the tree; names are judged before content is read. Files that Spark
+    takes for hidden are small settings as a rule; they are read through the driver, each only up
+    to what a search would read. A file's id is a hash of its path, so that a later scan gives an
+    unchanged path the same id.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    named = raw.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    files, folders = _hidden(spark, root, max_depth)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load([root, *folders])
+    named = raw.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    if files:
+        rows = [(p, n, t, bytearray(_read(spark, p) or b"") if n <= MAX_SEARCHABLE_BYTES else None) for p, n, t in files]
+        named = named.unionByName(spark.createDataFrame(rows, named.schema))
+    named = named.withColumn("path", relative(F.col("path"), root)).dropDuplicates(["path"]) if folders else named.withColumn("path", relative(F.col("path"), root))
     kept = keep(named, read_rules(spark, root) if rules is None else rules, max_depth)
     if cap is not None:
         chosen = capped(kept.select("path"), cap)
