@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.materialise import cut, prepare_checkpoints
+
+__all__ = ["FOLD", "LOWER", "UPPER", "cut", "held_out", "scratch", "shuffle_partitions", "table"]
+
 #: A-Z to a-z and nothing else, for `F.translate` and `bytes.translate`.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -18,36 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _prepare_checkpoints(spark: SparkSession) -> None:
-    """Points Spark at the shared folder that the cluster names.
-
-    Only a single-machine session (tests) may fall back to a folder of its own.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="siftwell-checkpoints-")
-    context.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared checkpoint folder.
-
-    What follows reads the files, so a lost executor costs one read and no recomputation, and
-    a plan that uses the rows several times does not run their lineage several times.
-    """
-    _prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared checkpoint folder for tables that a job writes and reads again."""
-    _prepare_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    return f"{prepare_checkpoints(spark)}/{name}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
