@@ -121,10 +121,11 @@ def _sigmoid(z: float) -> float:
 
 def fit(rows: list[tuple[int, list[float], np.ndarray, np.ndarray, list[str]]], seed: int = 7, rate: float = 0.1, decay: float = 1e-4) -> Machine:
     """AdaGrad over rows (label, statistics, buckets, weights, metadata); labels 0 and 1 weigh the same."""
-    size = (1 << HASH_BITS) + CELLS * len(statistics("", [], Counter()))
+    kinds = len(statistics("", [], Counter()))
+    size = (1 << HASH_BITS) + CELLS * kinds
     random = np.random.default_rng(seed)
-    stats = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    cuts = np.quantile(stats, np.arange(1, CELLS) / CELLS, axis=0).T if len(rows) else np.zeros((len(statistics("", [], Counter())), CELLS - 1))
+    stats = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), kinds)
+    cuts = np.quantile(stats, np.arange(1, CELLS) / CELLS, axis=0).T if len(rows) else np.zeros((kinds, CELLS - 1))
     if len(rows):  # the outer cells also part what stands apart from most rows
         low, high = np.quantile(stats, [0.02, 0.98], axis=0)
         cuts[:, 0], cuts[:, -1] = low, high

@@ -153,8 +153,8 @@ def _masks(positions_a: range, positions_b: range | None) -> list[int]:
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of column `fp` that connect exactly those
-    which a chain of links connects. Not every link: a spanning forest of each bucket."""
+    """(a, b): pairs of the distinct fingerprints of column `fp` that connect exactly what chains of
+    links connect. Not every link: each bucket's links become pairs of a member and its root."""
     spark = distinct.sparkSession
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     base = distinct.select("fp", high.alias("hi"), low.alias("lo"))

@@ -1,0 +1,166 @@
+"""Every registered query of the subpackage over sf0.001, against SQL or a plain version."""
+
+import hashlib
+import re
+import struct
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+import __spark_entry__
+from siftwell.llm import packing
+from siftwell.llm.queries import ORACLES, QUERIES
+from tests.compare import assert_same, expected
+
+
+@pytest.fixture(scope="module")
+def texts(sf_dir):
+    return dict(duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall())
+
+
+def rows(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir).toPandas()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, sf_dir, name):
+    assert_same(rows(spark, sf_dir, name), expected(ORACLES[name], sf_dir))
+
+
+def test_all_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+def simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(prints):
+    """Component of every id by all pairs."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if bin(prints[i] ^ prints[j]).count("1") <= 2 and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_simhash(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op2_simhash").set_index("doc_id")
+    prints = {i: simhash(t) for i, t in texts.items()}
+    assert got.fingerprint.to_dict() == {i: f"{p:016x}" for i, p in prints.items()}
+    assert got.component_id.to_dict() == groups(prints)
+
+
+def test_packing(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    model.encode_special_tokens = True
+    got = rows(spark, sf_dir, "op3_packing")
+    seen = {}
+    for r in got.itertuples():
+        seen.setdefault(r.doc_id, []).append(r)
+    assert set(seen) == set(texts)
+    total = 0
+    for doc_id, text in texts.items():
+        ids = model.encode(text or "", add_special_tokens=False).ids + [2]
+        pieces = sorted(seen[doc_id], key=lambda r: r.piece)
+        total += len(ids)
+        assert [p.piece for p in pieces] == list(range(len(pieces))) and sum(p.length for p in pieces) == len(ids)
+        assert all(p.length == 1024 for p in pieces[1:]) and (len(ids) <= 1024) == (len(pieces) == 1)
+        at = 0
+        for p in pieces:
+            part = ids[at : at + p.length]
+            assert p.start == at and p.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += p.length
+    for _, rest in got.sort_values("offset").groupby("sequence_id"):
+        assert list(rest.offset) == list(np.cumsum([0, *rest.length])[:-1]) and rest.length.sum() <= 1024
+    assert got.sequence_id.nunique() <= -(-total // 1024) * 1.02 + 1
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c.isdigit()]
+            double = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            if {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.group().split(".")), "card": 14 <= len(digits) <= 19 and double % 10 == 0, "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for *_, x in sorted(out)]
+
+
+def test_pii(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op4_pii").set_index("doc_id")
+    some = 0
+    for doc_id, text in texts.items():
+        want, r = base(text or ""), got.loc[doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in BASE]
+        assert set(want) <= set(filter(None, r.spans.split(",")))
+        some += len(want)
+    assert some
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op5_quality", "quality", 0.95), ("op6_toxicity", "toxic", 0.9)])
+def test_classifiers_on_held_out_rows(spark, name, label, least):
+    sf_dir = "/root/testdata/sf0.01"
+    got = rows(spark, sf_dir, name).merge(duckdb.sql(f"select doc_id, {label} as y from '{sf_dir}/labels.parquet'").df(), on="doc_id")
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
+    held = got[got.held_out]
+    assert ((held.predicted == held.y).mean()) >= least and got.score.between(0, 1).all()
+
+
+def test_sharding(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op10_sharding").set_index("doc_id")
+    assert got["size"].to_dict() == {i: len((t or "").encode()) + 16 for i, t in texts.items()}
+    assert got.text_crc32.to_dict() == {i: zlib.crc32((t or "").encode()) for i, t in texts.items()}
+    assert set(got.law) == {"bytes"} and set(got.shard) <= set(range(40))
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_pipeline_against_plain_stages(spark, sf_dir, texts):
+    import corpus_pipeline as pipeline
+    from siftwell.llm import pii
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    toxic = rows(spark, sf_dir, "op6_toxicity").set_index("doc_id").predicted
+    kept = {i: t for i, t in texts.items() if toxic[i] == 0}
+    one = pipeline.drop_toxic(spark, docs, sf_dir)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(kept)
+    component = groups({i: simhash(t) for i, t in kept.items()})
+    kept = {i: t for i, t in kept.items() if component[i] == i}
+    two = pipeline.drop_near_copies(spark, one, sf_dir)
+    assert {r.doc_id for r in two.collect()} == set(kept)
+    found = rows(spark, sf_dir, "op8_decontamination").set_index("doc_id").contaminated
+    kept = {i: t for i, t in kept.items() if not found[i]}
+    three = pipeline.drop_contaminated(spark, two, sf_dir)
+    assert {r.doc_id for r in three.collect()} == set(kept)
+    four = {r.doc_id: (r.text, r.n_chars) for r in pipeline.mask_personal_data(spark, three, sf_dir).collect()}
+    ids = sorted(kept)
+    plain = [pii.mask(kept[i], spans) for i, (_, spans) in zip(ids, pii.all_spans([kept[i] for i in ids], pii.train()))]
+    assert four == {i: (t, len(t)) for i, t in zip(ids, plain)}
+    assert all(not base(t) or "+" in t for t, _ in four.values())
+    last = pipeline.run(spark, sf_dir).toPandas()
+    assert set(last.doc_id) == set(kept) and last.groupby("sequence_id").length.sum().max() <= 1024
