@@ -90,25 +90,29 @@ def licenses(docs: DataFrame, path: Column | None = None, threshold: float = THR
             left -= (c[t] * idf[t]) ** 2
     anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + r")(?![a-z0-9])"
     weights = spark.createDataFrame([(t, idf[t], [c[t] * idf[t] / norm for c, norm in zip(templates, norms)]) for t in vocabulary], "term string, idf double, share array<double>")
-    lines = slim.where(F.col("text").rlike(anchor)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(anchor))
-    words = lines.select("doc_id", "line", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("doc_id", "line", "term").agg(F.count("*").alias("tf"))
+    folder = F.regexp_replace("path", "/?[^/]*$", "").alias("dir")
+    terms = F.size(_terms(F.col("text"))).alias("all")
+    # The text is split where it is read; what leaves the scan are the few lines with an anchor.
+    lines = slim.where(F.col("text").rlike(anchor)).select("doc_id", folder, terms, F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(anchor)).distinct()
+    row = ["doc_id", "dir", "all", "line"]
+    words = lines.select(*row, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*row, "term").agg(F.count("*").alias("tf"))
     # `weights` has one row for each template term.
     weighed = words.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     sums = [F.sum(F.coalesce(F.col("w") * F.col("share")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(templates))]
-    scored = weighed.groupBy("doc_id", "line").agg(F.sum("tf").alias("words"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *sums)
+    scored = weighed.groupBy(*row).agg(F.sum("tf").alias("words"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *sums)
     best = F.array_max(F.array(*[F.struct(F.round(F.col(f"s{k}") / F.col("norm"), 6).alias("cosine"), F.lit(-k).alias("k")) for k in range(len(templates))]))
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
-    matched = scored.withColumn("best", best).where(F.col("best.cosine") >= threshold).select("doc_id", "line", "words", F.col("best.cosine").alias("similarity"), F.element_at(names, F.lit(1) - F.col("best.k")).alias("license"), F.col("best.k").alias("k"))
-    own = cut(matched.groupBy("doc_id").agg(F.max(F.struct("similarity", "k", -F.col("line"), "license")).alias("b"), F.sum("words").alias("words")).select("doc_id", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), "words"))
-    size = slim.join(own.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path", F.size(_terms(F.col("text"))).alias("all"))
-    placed = slim.select("doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
-    files = size.join(own, "doc_id").where(F.col("words") >= file_share * F.col("all")).select(F.regexp_replace("path", "/?[^/]*$", "").alias("from_dir"), "license", "similarity")
+    matched = cut(scored.withColumn("best", best).where(F.col("best.cosine") >= threshold).select(*row, "words", F.col("best.cosine").alias("similarity"), F.element_at(names, F.lit(1) - F.col("best.k")).alias("license"), F.col("best.k").alias("k")))
+    first = F.max(F.struct("similarity", "k", -F.col("line"), "license")).alias("b")
+    own = matched.groupBy("doc_id").agg(first).select("doc_id", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"))
+    files = matched.groupBy("doc_id", "dir", "all").agg(first, F.sum("words").alias("words")).where(F.col("words") >= file_share * F.col("all")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"))
+    placed = slim.select("doc_id", "path", folder)
     licensed = files.groupBy("from_dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "license")).alias("b")).select("from_dir", F.col("b.license").alias("dir_license"), (-F.col("b.order")).alias("dir_similarity"))
     # Directories, not documents, meet their ancestors; the nearest is the one with the longest path.
     parts = F.split("dir", "/")
     ancestors = placed.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("from_dir"))
     nearest = ancestors.join(licensed, "from_dir").groupBy("dir").agg(F.max(F.struct(F.length("from_dir").alias("n"), "from_dir", "dir_license", "dir_similarity")).alias("b")).select("dir", "b.from_dir", "b.dir_license", "b.dir_similarity")
-    joined = placed.join(own.drop("words"), "doc_id", "left").join(nearest, "dir", "left")
+    joined = placed.join(own, "doc_id", "left").join(nearest, "dir", "left")
     mine = F.col("license").isNotNull()
     return joined.select("doc_id", "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("similarity", "dir_similarity").alias("similarity"), F.when(mine, "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
 
