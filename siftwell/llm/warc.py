@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-#: What is cut with its content, what breaks a line, and the character references that are resolved.
+#: What is cut with its content (first what holds no markup, then the rest), what breaks a line, and the character references that are resolved.
 DROPPED = ["script", "style", "noscript", "template", "head", "nav"]
 BREAKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|blockquote|pre|hr|dd|dt"
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
@@ -23,15 +23,15 @@ REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("
 
 def visible_text(html: Column) -> Column:
     """The text a reader sees: comments and unseen elements cut, blocks as lines, references resolved."""
-    out = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    for tag in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
+    unseen = "|".join([r"<!--.*?-->", *(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in DROPPED[:4])])
+    out = F.regexp_replace(html, f"(?is){unseen}", " ")
+    out = F.regexp_replace(out, "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in DROPPED[4:]), " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BREAKS})(?:\s[^>]*)?/?>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", "")
     for name, sign in REFERENCES:
         out = F.replace(out, F.lit(name), F.lit(sign))
-    out = F.regexp_replace(out, "[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(out, "[ \t\r\f]{2,}|[\t\r\f]", " ")  # single spaces stay as they are
+    return F.btrim(F.regexp_replace(out, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def _uuid(*parts: Column) -> Column:
