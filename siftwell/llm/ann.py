@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, shuffle_partitions
+from siftwell.llm.common import cut, least_by_hash, shuffle_partitions
 from siftwell.llm.hilbert import hilbert_index
 
 NEIGHBOURS = 20
@@ -207,7 +207,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS, check: bool =
     folded = limited.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("ids"))
     asked = rows.where("is_query").select("vec").distinct().withColumn("asks", F.lit(True))
     points = cut(folded.join(asked, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", "ids", F.coalesce("asks", F.lit(False)).alias("asks")))
-    sample = points.select("vec", F.xxhash64("point").alias("h"), "point").orderBy("h", "point").limit(SAMPLE).collect()  # bounded
+    sample = least_by_hash(points.select("vec", "point"), "point", SAMPLE).collect()  # at most SAMPLE rows
     grid = Curves(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype=np.float64).reshape(-1, size), float(common["longest"]), curves)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.materialise import cut, prepare_checkpoints
 
-__all__ = ["FOLD", "LOWER", "UPPER", "cut", "held_out", "scratch", "shuffle_partitions", "table"]
+__all__ = ["FOLD", "LOWER", "UPPER", "cut", "held_out", "least_by_hash", "scratch", "shuffle_partitions", "table"]
 
 #: A-Z to a-z and nothing else, for `F.translate` and `bytes.translate`.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,3 +32,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(doc_id) -> "F.Column":
     """True for the documents whose labels no model may see: crc32(doc_id as text) mod 3 is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def least_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The `rows` rows with the least hash of `key`: a sample that no order or partitioning changes.
+
+    A first filter on the hash leaves little more than `rows` rows of the whole table, so the sort
+    for the last cut is small however many partitions there are.
+    """
+    n = df.count()
+    if n > rows:
+        share = (rows + 8 * rows**0.5 + 16) / n
+        df = df.where(F.xxhash64(key) / F.lit(2.0**64) + 0.5 < share)
+    return df.orderBy(F.xxhash64(key), key).limit(rows)

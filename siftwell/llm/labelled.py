@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, held_out
+from siftwell.llm.common import cut, held_out, least_by_hash
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -39,7 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     texts are left out; where a doc_id has several labels the largest counts.
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = least_by_hash(known, "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
     # `known` has at most `rows` rows of two numbers.
     sample = cut(texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]))
