@@ -101,7 +101,8 @@ def frequencies(index: Index) -> DataFrame:
 def candidates(index: Index, plan: Plan, rarest: DataFrame | None = None, demand: int = 8) -> DataFrame | None:
     """file_id of the files that may match, each once; None when nothing narrows.
 
-    A trigram that no file has gives an empty result. With `rarest` (a frequency table), only the
+    Postings hold a pair once, so counting them finds the files that have every trigram with one
+    shuffle of ids. A trigram that no file has gives an empty result. With `rarest` (a frequency table), only the
     `demand` rarest of the required trigrams are asked for: still a superset of the matches.
     """
     if isinstance(plan, All):
@@ -113,7 +114,7 @@ def candidates(index: Index, plan: Plan, rarest: DataFrame | None = None, demand
             known = {r["trigram"]: r["df"] for r in rarest.where(F.col("trigram").isin(wanted)).collect()}  # a row a required trigram
             wanted = sorted(wanted, key=lambda t: (known.get(t, 0), t))[:demand]
         hits = index.postings.where(F.col("trigram").isin(wanted))
-        narrowed.append(hits.groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(wanted)).select("file_id") if len(wanted) > 1 else hits.select("file_id").distinct())
+        narrowed.append(hits.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") >= len(wanted)).select("file_id") if len(wanted) > 1 else hits.select("file_id").distinct())
     for branch in plan.either:
         found = [candidates(index, p, rarest, demand) for p in branch]
         if all(f is not None for f in found):

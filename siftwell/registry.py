@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import score, text
@@ -16,7 +16,7 @@ from siftwell.formatting import shown_line
 from siftwell.operators import find, frecency, grep, maintain, trigrams
 from siftwell.plans import planner
 from siftwell.sources.ignore import ignored, parse_rules
-from siftwell.sources.tree import from_documents, from_pages, keep
+from siftwell.sources.tree import from_documents, from_pages, spread
 
 #: Fixed value: the clock of every query, 2024-01-31T00:00:00Z.
 NOW = 1_706_659_200_000
@@ -38,11 +38,11 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), NOW)
+    return from_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), NOW)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return from_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:

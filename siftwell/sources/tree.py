@@ -92,6 +92,13 @@ def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth:
     return kept.select(F.xxhash64("path").alias("file_id"), "path", "size", "mtime_ms", "content", F.lit(True).alias("alive"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores, dealt to all of them: a small file is often
+    one row group, which one task reads however many there are. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def from_documents(documents: DataFrame, now_ms: int) -> DataFrame:
     """`documents` as files: text under docs/language/source."""
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
