@@ -114,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans
     spans: maximal runs of hit words as (start, stop) characters of the original text.
 
     Null and empty texts have no words; an item without words has no window; an empty benchmark
-    hits nothing. Items with the same id count once. Repeated rows give repeated rows.
+    hits nothing. Items with the same id count once, items without an id are left out. Repeated rows give repeated rows.
     """
     shared = _shared(docs, benchmark, window)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>" + ", spans array<struct<start: int, stop: int>>" * with_spans
