@@ -35,6 +35,8 @@ HASH = 1 << 12
 #: Words on each side of a stretch that give it context; they are O.
 CONTEXT = 2
 MARGIN = 1.0
+#: Words of stretches that are decoded at once; a longer stretch is decoded alone, and whole.
+BATCH_WORDS = 1 << 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,15 +125,17 @@ def _ids(word: str, side: str) -> tuple[int, ...]:
     return tuple(_bucket(f"{side}{f}") for f in (own if side == "0" else (own[1], own[2], own[7])))
 
 
-def features(words: list[str]) -> list[np.ndarray]:
-    """Feature numbers of each word: its own and its neighbours'."""
-    out = []
+def _features(words: list[str]) -> Iterator[np.ndarray]:
     for i, w in enumerate(words):
         ids = list(_ids(w, "0"))
         ids += _ids(words[i - 1], "-") if i else (_bucket("-start"),)
         ids += _ids(words[i + 1], "+") if i + 1 < len(words) else (_bucket("+end"),)
-        out.append(np.array(ids, dtype=np.int64))
-    return out
+        yield np.array(ids, dtype=np.int64)
+
+
+def features(words: list[str]) -> list[np.ndarray]:
+    """Feature numbers of each word: its own and its neighbours'."""
+    return list(_features(words))
 
 
 # ---- training -------------------------------------------------------------------------------
@@ -199,7 +203,9 @@ class Crf:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores, with O forced on words that cannot be personal data."""
-        out = np.stack([self.emission[ids].sum(axis=0) for ids in features(words)])
+        out = np.empty((len(words), len(LABELS)))
+        for i, ids in enumerate(_features(words)):
+            out[i] = self.emission[ids].sum(axis=0)
         for i, w in enumerate(words):
             if not re.search(r"[0-9@]", w) and not _spelled(words, i):
                 out[i, 1:] = -1e6
@@ -212,7 +218,7 @@ class Crf:
         back = []
         for t in range(1, batch.shape[1]):
             step = best[:, :, None] + self.transition[None]
-            back.append(step.argmax(axis=1))
+            back.append(step.argmax(axis=1).astype(np.int8))
             best = step.max(axis=1) + batch[:, t, :]
         path = [best.argmax(axis=1)]
         for pointers in reversed(back):
@@ -346,13 +352,12 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, s
     jobs: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
     for k, text in enumerate(texts):
         for words in _stretches(text, base[k]):
-            for i in range(0, len(words), 256):
-                part = words[i : i + 256]
-                jobs.setdefault(len(part), []).append((k, part))
+            jobs.setdefault(len(words), []).append((k, words))
     added: dict[int, list[tuple[int, int, str]]] = {}
     for length, group in jobs.items():
-        for i in range(0, len(group), 512):
-            some = group[i : i + 512]
+        rows = max(1, BATCH_WORDS // length)
+        for i in range(0, len(group), rows):
+            some = group[i : i + rows]
             paths, lead = model.decode(np.stack([model.scores([texts[k][a:b] for a, b in words]) for k, words in some]))
             for (k, words), path, ahead in zip(some, paths, lead):
                 if ahead < MARGIN:

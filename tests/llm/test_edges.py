@@ -173,6 +173,18 @@ def test_field_tags_unseen_rows_and_adds_spans():
     assert pii.mask("a b@c.de f", [(2, 8, "email")]) == "a <EMAIL> f"
 
 
+def test_long_stretches_are_decoded_whole():
+    model = pii.train()
+    for before in (250, 252, 253, 254, 255, 256, 300, 511):
+        text = " ".join(["room 12"] * (before // 2) + ["7"] * (before % 2) + ["call (555) 123-4567 or jo [at] host [dot] com", *["room 12"] * 200])
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        path, _ = model.decode(model.scores([text[a:b] for a, b in words])[None])
+        whole = {(words[t][0], pii.LABELS[k][2:]) for t, k in enumerate(path[0]) if pii.LABELS[k][0] == "B"}
+        got = [(text[a:b], kind) for a, b, kind in pii.all_spans([text], model)[0][1]]
+        assert got == [("(555) 123-4567", "phone"), ("jo [at] host [dot] com", "email")]
+        assert {(text.index(t), kind) for t, kind in got} <= whole
+
+
 def test_long_runs_stay_linear():
     assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a" * 100_000 + "@") == [] and pii.base_spans("1." * 100_000) != []
 
