@@ -14,8 +14,6 @@ from siftwell.llm.common import cut, held_out, least_by_hash
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 20_000
-#: Characters of a labelled text that a model is fitted on (scoring always reads whole texts).
-SAMPLE_CHARS = 20_000
 SHINGLE = 5
 
 
@@ -40,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     known = least_by_hash(known, "doc_id", rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # `known` has at most `rows` rows of two numbers.
     sample = cut(texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]))
     first = sample.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, sketch long").groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from siftwell.llm import ann, components, decontam, hilbert, licenses, packing, pii, quality, sharding, simhash, toxicity, warc
+from siftwell.llm.labelled import labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, fp long, key long, size long"
 WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -219,6 +221,19 @@ def test_toxic_passages_are_placed(spark):
     assert got[0].score > 0.7 > got[1].score and len(got[0].passages) == 1
 
 
+def test_models_learn_from_whole_texts(spark):
+    random.seed(8)
+    fill = lambda: " ".join(f"w{random.randrange(5000)}" for _ in range(4000))
+    texts = {i: fill() + (" you vileword" if i % 2 else " you too") for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in texts], "doc_id long, quality int, toxic int")
+    sample = labelled_sample(docs, marks, "toxic").collect()
+    assert min(map(len, texts.values())) > 20_000 and all(r.text == texts[r.doc_id] for r in sample) and len(sample) > 20
+    assert "vileword " in toxicity.learn(docs, marks).scores
+    stats = [quality.statistics(t, t.split(), Counter(t.split())) for t in (r.text for r in sample)]
+    assert quality.learn(docs, marks).cuts[0].max() <= max(s[0] for s in stats) and quality.learn(docs, marks).cuts[0].min() >= min(s[0] for s in stats)
+
+
 def test_machine_equals_all_pairs():
     random = np.random.default_rng(3)
     v = random.normal(size=(50, 6))
