@@ -202,9 +202,10 @@ def neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS, check: bool =
         return spark.createDataFrame([], schema)
     size, keep, parts = int(common["size"]), k + 1, shuffle_partitions(spark)
     rows = rows.where(F.col("size") == size)
-    #: Per vector, its least k + 1 ids: limited before the shuffle, so copies do not gather.
-    limited = rows.select("vec", "vec_id").withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= keep)
-    folded = limited.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("ids"))
+    #: Per vector, its least k + 1 ids: repeated rows go first, each pair by itself, and ids are
+    #: limited before the shuffle by vector, so neither repeats nor copies gather.
+    limited = rows.select("vec", "vec_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= keep)
+    folded = limited.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where("is_query").select("vec").distinct().withColumn("asks", F.lit(True))
     points = cut(folded.join(asked, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", "ids", F.coalesce("asks", F.lit(False)).alias("asks")))
     sample = least_by_hash(points.select("vec", "point"), "point", SAMPLE).collect()  # at most SAMPLE rows

@@ -279,6 +279,14 @@ def test_neighbours_with_copies_and_bad_rows(spark, n):
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_repeated_rows_do_not_crowd_out_ids(spark):
+    equal = [1.0, 2.0, 3.0]
+    rows = [(0, equal)] * 25 + [(i, equal) for i in range(1, 30)] * 2 + [(40 + i, [0.1 * i, 0.2, -1.0]) for i in range(5)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 25)).orderBy("query_id", "rank").collect()
+    for q in (0, 25):
+        assert [r.vec_id for r in got if r.query_id == q] == [i for i in range(30) if i != q][:20]
+
+
 def test_windows_alone_find_clustered_neighbours(spark):
     random = np.random.default_rng(4)
     centres = random.normal(size=(40, 32)) * 3
