@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut
+from siftwell.llm.common import cut, join_by_key
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -55,31 +55,37 @@ def _thin(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa
         yield out()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what `edges` connects: a forest a partition."""
+    return edges.mapInArrow(_thin, "a long, b long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, thin: bool = True) -> DataFrame:
     """(node, component) for every node of an edge; component is the least node it reaches.
 
     Alternates the large-star and small-star steps, which end in a star round the least node of
     every component after a number of rounds that grows with the logarithm of its longest chain.
-    Each round is two aggregations (with map-side partial minima, so a hub does not gather in
-    one task) joined back on the node, and is cut by a checkpoint. Null ends and loops are
-    dropped; an empty table gives no rows.
+    Each round is two aggregations with map-side partial minima; a hub's edges are joined with its
+    minimum by broadcast (`join_by_key`), so neither gathers it in one task. Rounds are cut by
+    written tables. Null ends and loops are dropped; an empty table gives no rows. `thin` replaces
+    the edges of each partition by a forest first.
     """
-    stars = cut(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-        .where("a is not null and b is not null and a <> b")
-        .mapInArrow(_thin, "a long, b long")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
+    if thin:
+        clean = thinned(clean)
+    stars = cut(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        if stars.isEmpty():
+        n = stars.count()
+        if not n:
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        # `n` counts only the edges up, of which the first join has those of its hubs.
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0"))
+        up = stars.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = cut(join_by_key(up, least, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_by_key(large, low, ["u"], "n", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         stars = cut(small)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

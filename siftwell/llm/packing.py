@@ -16,10 +16,13 @@ plan has for that number.
 
 from __future__ import annotations
 
+import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -31,83 +34,96 @@ from siftwell.llm.common import cut, shuffle_partitions
 
 CAPACITY = 1024
 END = 2
-#: A worker remembers the ids of the last so many different chunks, twice over.
-MEMORY = 300_000
+#: A worker remembers the ids of the last so many different chunks, twice over, for one task.
+MEMORY = 1 << 16
+#: Longest chunk that is remembered, in characters; with `MEMORY` it bounds what a worker holds.
+REMEMBERED = 32
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokenizer: str):
-    """A function from text to the bytes of its ids (unsigned, 32 bits, little-endian).
+@lru_cache(maxsize=8)
+def ranks_of(tokenizer: str) -> tuple[str, str] | None:
+    """Where the vocabulary of a byte-level BPE file lies beside it as ranks, and both libraries agree
+    on a probe: the path of the ranks and their pattern. Ranks are several times as fast. The driver
+    asks once, so that a worker loads one library only."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    `tokenizer` is a byte-level BPE file of the `tokenizers` library. Its pre-tokens never span
-    a space that stands alone before the next character, so a text without double spaces is the
-    concatenation of its chunks cut before each space. Chunks are remembered for speed alone.
-    """
+    ranks = Path(tokenizer).with_suffix(".tiktoken")
+    if not ranks.exists():
+        return None
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = True
+    quick, word = _by_ranks(str(ranks), public_tokenizers.PATTERN)
+    plain = lambda text: array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
+    probe = "It's 12 cafés,  naïve\n\n tabs\t日本 <|endoftext|> don't\r\n"
+    same = quick(probe) == plain(probe) and word("naïve") == plain(" naïve")
+    return (str(ranks), public_tokenizers.PATTERN) if same else None
+
+
+def _by_ranks(ranks: str, pattern: str):
+    """Two functions to ids as bytes: of any text, and of a space and letters alone."""
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
+    merge = own._core_bpe.encode_single_piece
+    return (lambda text: array("I", own.encode_ordinary(text)).tobytes()), (lambda letters: array("I", merge(f" {letters}".encode())).tobytes())
+
+
+def _by_file(tokenizer: str):
+    """The same by the `tokenizers` library."""
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer)
     model.encode_special_tokens = True  # their strings in a text are ordinary text
-    encode_all, encode_word = _merges(tokenizer, model)
-    recent: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+    plain = lambda text: array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
+    return plain, (lambda word: plain(f" {word}"))
+
 
-    def encode(text: str) -> bytes:
-        nonlocal recent, older
+class Encoder:
+    """From text to the bytes of its ids (unsigned, 32 bits, little-endian).
+
+    Pre-tokens never span a space that stands alone before the next character, so a text without
+    double spaces is the concatenation of its chunks cut before each space. Chunks are remembered
+    for speed alone, in two generations of at most `MEMORY`, until `forget`.
+    """
+
+    def __init__(self, tokenizer: str, ranks: tuple[str, str] | None):
+        self.text, self.word = _by_ranks(*ranks) if ranks else _by_file(tokenizer)
+        self.forget()
+
+    def forget(self) -> None:
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if "  " in text:
-            return encode_all(text)
+            return self.text(text)
         first, *rest = text.split(" ")
-        out = [encode_all(first)] if first else []
-        get, put = recent.get, out.append
+        out = [self.text(first)] if first else []
+        get, put = self.recent.get, out.append
         for chunk in rest:
             ids = get(chunk)
             if ids is None:
-                ids = older.get(chunk)
+                ids = self.older.get(chunk)
                 if ids is None:
-                    ids = encode_word(chunk) if chunk.isalpha() else encode_all(f" {chunk}")
-                if len(chunk) < 64:
-                    recent[chunk] = ids
-                    if len(recent) >= MEMORY:
-                        recent, older = {}, recent
-                        get = recent.get
+                    ids = self.word(chunk) if chunk.isalpha() else self.text(f" {chunk}")
+                if len(chunk) <= REMEMBERED:
+                    self.recent[chunk] = ids
+                    if len(self.recent) >= MEMORY:
+                        self.recent, self.older = {}, self.recent
+                        get = self.recent.get
             put(ids)
         return b"".join(out)
 
-    return encode
-
-
-def _merges(tokenizer: str, model):
-    """Two functions to ids as bytes: of any text, and of a space and letters alone. Where the
-    same vocabulary lies beside the file as ranks and both libraries agree on a probe, the ranks
-    are used, which is several times as fast."""
-    import base64
-    from array import array
-    from pathlib import Path
-
-    def plain(text: str) -> bytes:
-        return array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
-
-    ranks = Path(tokenizer).with_suffix(".tiktoken")
-    if not ranks.exists():
-        return plain, lambda word: plain(f" {word}")
-    import public_tokenizers
-    import tiktoken
-
-    vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
-    own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
-    merge = own._core_bpe.encode_single_piece
-
-    def quick(text: str) -> bytes:
-        return array("I", own.encode_ordinary(text)).tobytes()
 
-    def word(letters: str) -> bytes:
-        return array("I", merge(f" {letters}".encode())).tobytes()
-
-    probe = "It's 12 cafés,  naïve\n\n tabs\t日本 <|endoftext|> don't\r\n"
-    if quick(probe) == plain(probe) and word("naïve") == plain(" naïve"):
-        return quick, word
-    return plain, lambda word: plain(f" {word}")
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str, ranks: tuple[str, str] | None) -> Encoder:
+    """A worker's encoder: the vocabulary is loaded once, what it remembers goes after each task."""
+    return Encoder(tokenizer, ranks)
 
 
 def default_tokenizer() -> str:
@@ -124,9 +140,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     """
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
     tail = np.asarray([end], dtype="<u4").tobytes()
+    ranks = ranks_of(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, ranks)
         for batch in batches:
             rows: list[tuple] = []
             flat: list[bytes] = []
@@ -142,11 +159,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                         flat.append(part)
                     at, piece, size = at + size, piece + 1, capacity
                 held += len(ids) if with_ids else 0
-                if held >= 1 << 24 or len(rows) >= 1 << 16:
+                if held >= 1 << 24 or len(rows) >= 1 << 14:
                     yield _pieces(rows, flat, with_ids)
                     rows, flat, held = [], [], 0
             if rows:
                 yield _pieces(rows, flat, with_ids)
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

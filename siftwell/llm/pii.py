@@ -13,8 +13,9 @@ no digit, no at sign and no spelled-out one beside it cannot be personal data of
 is O. With the labels of such words fixed, a chain falls apart between them, so only the
 stretches round other words are decoded, with the same result as decoding whole texts.
 
-A stretch that the CRF labels becomes a span where it reaches a least posterior-like margin, has
-the digits or parts its kind needs, and overlaps no base span.
+Words that the CRF labels become a span where the best labels are ahead of the best ones that are
+O on just these words by a least margin, and the span has the digits or parts its kind needs and
+overlaps no base span. Each span is judged by itself, whatever else its stretch holds.
 """
 
 from __future__ import annotations
@@ -211,20 +212,37 @@ class Crf:
                 out[i, 1:] = -1e6
         return out
 
-    def decode(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi over (sequences, words, labels): best labels, and each sequence's lead over all-O."""
-        best = batch[:, 0, :].copy()
-        best[:, [i for i, name in enumerate(LABELS) if name[0] == "I"]] -= 1e6
-        back = []
+    def decode(self, batch: np.ndarray) -> tuple[np.ndarray, "Leads"]:
+        """Viterbi over (sequences, words, labels): best labels, and what they are ahead of O by."""
+        start = batch[:, 0, :].copy()
+        start[:, [i for i, name in enumerate(LABELS) if name[0] == "I"]] -= 1e6
+        best, back, into = start, [], [np.zeros(len(batch))]
         for t in range(1, batch.shape[1]):
             step = best[:, :, None] + self.transition[None]
             back.append(step.argmax(axis=1).astype(np.int8))
-            best = step.max(axis=1) + batch[:, t, :]
+            top = step.max(axis=1)
+            into.append(top[:, 0])
+            best = top + batch[:, t, :]
         path = [best.argmax(axis=1)]
         for pointers in reversed(back):
             path.append(pointers[np.arange(len(pointers)), path[-1]])
-        none = batch[:, :, 0].sum(axis=1) + self.transition[0, 0] * (batch.shape[1] - 1)
-        return np.stack(path[::-1], axis=1), best.max(axis=1) - none
+        after = [np.zeros_like(start)]
+        for t in range(batch.shape[1] - 1, 0, -1):
+            after.append((self.transition[None] + (batch[:, t, :] + after[-1])[:, None, :]).max(axis=2))
+        out = np.stack([a[:, 0] for a in reversed(after)], axis=1)
+        return np.stack(path[::-1], axis=1), Leads(best.max(axis=1), np.stack(into, axis=1), np.cumsum(batch[:, :, 0], axis=1), out, float(self.transition[0, 0]))
+
+
+class Leads:
+    """How far the best labels of sequences are ahead of the best ones that are O in a span."""
+
+    def __init__(self, best: np.ndarray, into: np.ndarray, none: np.ndarray, out: np.ndarray, stay: float):
+        self.best, self.into, self.none, self.out, self.stay = best, into, none, out, stay
+
+    def of(self, s: int, t: int, u: int) -> float:
+        """For words `t` to `u` (exclusive) of sequence `s`."""
+        words = self.none[s, u - 1] - (self.none[s, t - 1] if t else 0.0) + self.stay * (u - t - 1)
+        return float(self.best[s] - (self.into[s, t] + words + self.out[s, u - 1]))
 
 
 def _spelled(words: list[str], i: int) -> bool:
@@ -359,9 +377,7 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, s
         for i in range(0, len(group), rows):
             some = group[i : i + rows]
             paths, lead = model.decode(np.stack([model.scores([texts[k][a:b] for a, b in words]) for k, words in some]))
-            for (k, words), path, ahead in zip(some, paths, lead):
-                if ahead < MARGIN:
-                    continue
+            for row, ((k, words), path) in enumerate(zip(some, paths)):
                 t = 0
                 while t < length:
                     name = LABELS[path[t]]
@@ -376,7 +392,7 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, s
                         b -= 1
                     while a < b and texts[k][a] in _TRIM:
                         a += 1
-                    if b > a and _accepts(name[2:], texts[k][a:b]) and not any(s < b and a < e for s, e, _ in base[k]):
+                    if b > a and lead.of(row, t, u) >= MARGIN and _accepts(name[2:], texts[k][a:b]) and not any(s < b and a < e for s, e, _ in base[k]):
                         added.setdefault(k, []).append((a, b, name[2:]))
                     t = u
     return [(own, sorted({*own, *added.get(k, [])}, key=lambda s: (s[0], KINDS.index(s[2])))) for k, own in enumerate(base)]

@@ -33,7 +33,7 @@ CELLS = 8
 EPOCHS = 6
 SAMPLE = 8_000
 #: Words of which a worker remembers the bucket.
-MEMORY = 400_000
+MEMORY = 1 << 17
 _SYMBOLS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 _PLAIN = set(b".,;:!?'\"-()")
 _ODD = bytes(b for b in _SYMBOLS if b not in _PLAIN)

@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from siftwell.llm.common import FOLD, cut, shuffle_partitions
-from siftwell.llm.components import connected_components, forest
+from siftwell.llm.common import FOLD, HOT_SHARE, cut, join_by_key, shuffle_partitions
+from siftwell.llm.components import connected_components, forest, thinned
 
 SEED = 42
 RADIUS = 2
@@ -185,10 +186,22 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
         in_high = base.join(high_hot, "hi", "left_semi")
         in_low = base.join(hot.where("half = 1").select(F.col("key").alias("lo")), "lo", "left_semi")
-        near = near.unionByName(by_ball(in_high, _masks(range(32), None) + _masks(range(32), range(32, 64)))).unionByName(by_ball(in_low, _masks(range(32, 64), None)))
+        far = by_ball(in_high, _masks(range(32), None) + _masks(range(32), range(32, 64))).unionByName(by_ball(in_low, _masks(range(32, 64), None)))
+        near = near.unionByName(thinned(far))
     return near
 
 
+def _groups(prints: DataFrame, bucket: int) -> DataFrame:
+    """fp, least, n (rows), component_id of each distinct fingerprint of `prints` (fp and `key`, any
+    type that has an order): `least` is the least key of its rows, component_id of its group's."""
+    classes = cut(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    components = connected_components(links(classes.select("fp"), bucket), thin=False)  # only fingerprints that link
+    named = cut(classes.join(components, components.node == classes.fp).select("fp", "component", "least"))
+    groups = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("w")))
+    linked = join_by_key(named, groups, ["component"], "w", named.count()).select("fp", "component_id")
+    return classes.join(linked, "fp", "left").select("fp", "least", "n", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -198,28 +211,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows; other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(classes.select("fp"), bucket)
-    components = connected_components(found)  # node, component over fingerprints that link
-    named = components.join(classes, components.node == classes.fp).select("node", "component", "least")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = cut(_groups(prints.withColumnRenamed("doc_id", "key"), bucket).select("fp", "n", "component_id"))
+    return join_by_key(prints, groups, ["fp"], "n", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The rows of `docs`, with all columns, of the least doc_id of each near-duplicate group.
+def _hashable(kind: DataType) -> bool:
+    """Spark hashes no maps and no variants."""
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
+
 
-    Rows without a doc_id stay. Rows that repeat a doc_id count as one document, of which the row
-    with the least text hash stays. Only ids that go (or repeat) are joined, not those that stay.
+def drop_near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs`, with all columns: of each near-duplicate group exactly one.
+
+    The row with the least doc_id stays, ids before no id; among rows of one id (which may have
+    different texts, in one group or in several) the one with the least fingerprint and row hash,
+    and one of rows that are equal in every column. So no group ever goes as a whole. Null and
+    word-less texts are one group. Columns may have any names. Rows are known by two 64-bit hashes
+    of doc_id, text and all other columns; only hashes and ids are grouped, and texts move once,
+    to meet the keys that go.
     """
-    groups = cut(near_duplicates(docs, bucket=bucket).where("doc_id is not null").select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return left
-    repeated = left.join(again, left["doc_id"] == F.col("_again"), "left_semi")
-    once = repeated.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_order"), *docs.columns)).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    return left.join(again, left["doc_id"] == F.col("_again"), "left_anti").unionByName(once)
+    fields = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(*fields).alias("h1"), F.xxhash64(F.lit(1), *fields).alias("h2"))
+    key = ["h1", "h2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(3)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64))], names=["doc_id", "h1", "h2", "fp"])
+
+    slim = cut(whole.select("doc_id", *key, "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long"))
+    ranked = slim.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", *key).alias("key"))
+    stay = _groups(ranked, bucket).where("least = component_id").select("least.h1", "least.h2").distinct()
+    counted = cut(slim.groupBy(*key).agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), key, "left"))
+    hot = F.col("n") > slim.count() // (HOT_SHARE * shuffle_partitions(docs.sparkSession))
+    leave, several = counted.where("stays is null or n > 1"), counted.where("stays and n > 1")
+    # Keys of many equal rows are few, so they are broadcast; only rows of the other keys are shuffled.
+    rows = whole.select("row", *key)
+    single = rows.join(F.broadcast(leave.where(hot).select(*key)), key, "left_anti")
+    once = single.join(leave.where(~hot).select(*key), key, "left_anti")
+    if several.isEmpty():
+        return once.select("row.*")
+    repeated = rows.join(F.broadcast(several.where(hot).select(*key)), key, "left_semi").unionByName(single.join(several.where(~hot).select(*key), key, "left_semi"))
+    return once.select("row").unionByName(repeated.groupBy(*key).agg(F.any_value("row").alias("row")).select("row")).select("row.*")

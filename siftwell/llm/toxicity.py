@@ -11,7 +11,8 @@ a word counts, and every other word scores `DRIFT`.
 Search. One linear scan finds all maximal scoring segments of a text (each is a passage whose
 score no extension or trimming raises). With the scores' distribution in clean text, the number
 of clean segments of a text of n words that reach S is expected to be E = K n exp(-lambda S);
-lambda solves the usual moment equation. A passage with E of at most `EXPECT` is significant,
+lambda solves the usual moment equation, and K follows from how many segments of the sample's clean
+texts reach a score in the middle of theirs. A passage with E of at most `EXPECT` is significant,
 and the text's statistic is the sum of -ln E over significant passages. A logistic curve fitted
 on the sample turns the statistic into a probability.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import held_out
+from siftwell.llm.common import cut, held_out
 from siftwell.llm.labelled import SAMPLE_ROWS, labelled_sample
 from siftwell.llm.rewrite import keep_rows
 
@@ -43,9 +44,10 @@ WORD_SHARE, STEM_SHARE = 0.5, 0.95
 STEM = range(2, 7)
 EXPECT = 0.5
 THRESHOLD = 0.7
-K = 0.1
-#: Words of which a worker remembers the score.
-MEMORY = 400_000
+#: Steps of the histogram of clean segments, and what K is before any is seen.
+STEP, FIRST_K = 0.25, 0.1
+#: Chunks of which a worker remembers the score, for one task.
+MEMORY = 1 << 16
 _WORD = re.compile(r"\w+")
 _CHUNK = re.compile(r"\S+")
 
@@ -55,26 +57,35 @@ def nodes_of(word: str) -> list[str]:
     return [f"{word} ", *(word[:n] for n in STEM if n < len(word) + 1)]
 
 
-def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_nodes(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(label, text) to (node, clean, toxic): documents that hold the node, in parts that add up."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in counts)]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["node", "clean", "toxic"])
+
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[label].update({node for word in set(_WORD.findall(text.lower())) for node in nodes_of(word)})
             counts[label][""] += 1
-    names = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(names), 1 << 16):
-        part = names[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[0][w] for w in part], pa.int64()), pa.array([counts[1][w] for w in part], pa.int64())], names=["node", "clean", "toxic"])
+            if len(counts[0]) + len(counts[1]) >= most:
+                yield out()
+    yield out()
 
 
 @dataclass(frozen=True)
 class Model:
-    """Node scores, the extreme-value parameter and the logistic curve."""
+    """Node scores, the extreme-value parameters (lambda is `rate`) and the logistic curve."""
 
     scores: dict[str, float]
     rate: float
     slope: float
     base: float
+    k: float = FIRST_K
 
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.base + self.slope * statistic))))
@@ -96,6 +107,11 @@ class Scores(dict):
         self[chunk] = best
         return best
 
+    def limit(self) -> None:
+        """Forgets when it holds too much; called between texts."""
+        if len(self) > MEMORY:
+            self.clear()
+
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end exclusive, score), left to right, in linear time."""
@@ -118,12 +134,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def passages(text: str | None, model: Model, memo: Scores) -> tuple[float, list[tuple[int, int, float]]]:
     """The statistic of a whole text and its significant passages (start, end, -ln E) in characters."""
     chunks = (text or "").lower().split()
-    if len(memo) > MEMORY:
-        memo.clear()
+    memo.limit()
     scores = np.fromiter(map(memo.__getitem__, chunks), dtype=np.float64, count=len(chunks))
     if not len(scores) or scores.max() <= 0:
         return 0.0, []
-    log_kn = math.log(K * max(len(scores), 1 / K))
+    log_kn = math.log(max(model.k * len(scores), 1.0))
     found = [(a, b, model.rate * s - log_kn) for a, b, s in segments(scores)]
     found = [x for x in found if -x[2] <= math.log(EXPECT)]
     if not found:
@@ -144,6 +159,19 @@ def _rate(share: float, score: float) -> float:
     return high
 
 
+def _clean_rate(steps: dict[int, float], words: float, rate: float) -> float:
+    """K, from the number of clean segments that reach the middle of their scores, with a weak prior
+    of one segment at `FIRST_K`; at least a thousandth of that."""
+    total = sum(steps.values())
+    seen, middle = 0.0, 0
+    for middle in sorted(steps):
+        seen += steps[middle]
+        if 2 * seen >= total:
+            break
+    reach = sum(n for step, n in steps.items() if step >= middle)
+    return max(FIRST_K / 1000, min(10.0, (reach + 1.0) / (words * math.exp(-rate * middle * STEP) + 1.0 / FIRST_K)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and base by a few Newton steps with a weak prior, slope at least 0."""
     w, b = 0.0, 0.0
@@ -159,12 +187,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most `rows` labelled, not held-out documents. Without both labels no word scores."""
+    """Fits on at most `rows` labelled, not held-out documents. Without both labels no word scores
+    and every text has the same score, at most a half."""
     sample = labelled_sample(docs, labels, "toxic", rows)
-    counted = sample.select("label", "text").mapInArrow(_count_nodes, "node string, clean long, toxic long").groupBy("node").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = cut(sample.select("label", "text").mapInArrow(_count_nodes, "node string, clean long, toxic long").groupBy("node").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     sizes = {r["node"]: r for r in counted.where("node = ''").collect()}.get("")
     if sizes is None or not sizes["clean"] or not sizes["toxic"]:
-        return Model({}, 1.0, 0.0, math.log((sizes["toxic"] + 0.5) / (sizes["clean"] + 0.5)) if sizes else 0.0)
+        # Labels of one kind tell nothing apart: no text is called toxic for that.
+        return Model({}, 1.0, 0.0, min(0.0, math.log((sizes["toxic"] + 0.5) / (sizes["clean"] + 0.5))) if sizes else 0.0)
     n0, n1 = float(sizes["clean"]), float(sizes["toxic"])
     both = F.col("clean") + F.col("toxic")
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1) + 0.5
@@ -177,15 +207,25 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     scores = {r["node"]: min(TOP, float(r["odds"] - r["deviation"])) for r in picked.collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Scores(scores)
+        """What clean texts hold: number and sum by name, where a name is `word`, `hit` or a step of segment scores."""
+        memo, found = Scores(scores), Counter()
         for batch in batches:
-            rows = [(label, len(v), int((v > 0).sum()), float(v[v > 0].sum())) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for v in [np.fromiter(map(memo.__getitem__, text.lower().split()), dtype=np.float64)]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["label", "words", "hits", "score"])
-
-    clean = sample.select("label", "text").mapInArrow(measure, "label long, words long, hits long, score double").where("label = 0").agg(F.sum("words"), F.sum("hits"), F.sum("score")).first()
-    words, hits, score = (float(x or 0) for x in clean)
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if label == 0:
+                    v = np.fromiter(map(memo.__getitem__, text.lower().split()), dtype=np.float64)
+                    found["word"] += len(v)
+                    found["hit"] += int((v > 0).sum())
+                    found["score"] += float(v[v > 0].sum())
+                    found.update(f"{int(s / STEP)}" for *_, s in segments(v))
+                    memo.limit()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([float(x) for x in found.values()], pa.float64())], names=["name", "value"])
+
+    # One row a step of scores, however many texts there are.
+    clean = {r["name"]: float(r["value"]) for r in sample.select("label", "text").mapInArrow(measure, "name string, value double").groupBy("name").agg(F.sum("value").alias("value")).collect()}
+    words, hits, score = (clean.pop(name, 0.0) for name in ("word", "hit", "score"))
     mean = (score + 3.0) / (hits + 1)
-    model = Model(scores, min(3.0, _rate(min(0.2, (hits + 1) / (words + 1)), mean)), 1.0, 0.0)
+    rate = min(3.0, _rate(min(0.2, (hits + 1) / (words + 1)), mean))
+    model = Model(scores, rate, 1.0, 0.0, _clean_rate({int(step): n for step, n in clean.items()}, words, rate))
 
     def statistic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Scores(scores)
@@ -196,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     seen = sample.select("label", "text").mapInArrow(statistic, "label int, value double").collect()  # at most `rows` pairs of numbers
     x, y = np.array([r["value"] for r in seen]), np.array([r["label"] for r in seen], dtype=np.float64)
     slope, base = _logistic(np.minimum(x, 20.0) / 20.0, y)
-    return Model(scores, model.rate, slope / 20.0, base)
+    return Model(scores, model.rate, slope / 20.0, base, model.k)
 
 
 def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
