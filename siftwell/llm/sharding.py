@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, shuffle_partitions
+from siftwell.llm.common import cut, join_by_key, shuffle_partitions
 from siftwell.llm.hilbert import hilbert_index
 
 SHARDS = 40
@@ -51,28 +51,30 @@ def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("lang"
     size is the text's UTF-8 bytes (null: none) plus 16; null and empty text have the checksum of
     no bytes. Shards are numbered along the order and slots are gapless from 0 within each. Ties
     of the order are broken by text, then doc_id; rows that tie in all of them are copies, of
-    which any order gives the same rows. An empty table gives no rows.
+    which any order gives the same rows (a number spreads them over the ranges). Texts of very many
+    rows meet their group's values by broadcast, so none gathers. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     others = [d for d in dims if d != "size"]
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), *others))
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), F.monotonically_increasing_id().alias("_row"), *others))
+    n = slim.count()
     point = F.struct(F.col("doc_id").isNotNull().alias("_known"), F.col("doc_id"), *[F.col(d) for d in others])
     #: The least doc_id of a group speaks for it; partial minima leave one row a group and task.
-    groups = slim.groupBy("_text", "size", "text_crc32").agg(F.min(point).alias("p"), F.sum("size").alias("_group"))
-    lead = groups.select("_text", "size", "text_crc32", "_group", *[F.col("p")[d].alias(d) for d in others], F.col("p.doc_id").alias("_lead"))
-    several = lead.where(F.col("_group") > F.col("size"))
-    rows = slim.join(several.select("_text", "size", "text_crc32", "_group", "_lead", *[F.col(d).alias(f"_{d}") for d in others]), ["_text", "size", "text_crc32"], "left")
-    rows = rows.select("doc_id", "size", "text_crc32", "_text", F.coalesce("_group", "size").alias("_group"), F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_lead")).alias("_lead"), *[F.when(F.col("_group").isNull(), F.col(d)).otherwise(F.col(f"_{d}")).alias(d) for d in others])
+    text_key = ["_text", "size", "text_crc32"]
+    groups = slim.groupBy(*text_key).agg(F.min(point).alias("p"), F.sum("size").alias("_group"), F.count("*").alias("_n"))
+    several = cut(groups.where("_n > 1").select(*text_key, "_group", "_n", F.col("p.doc_id").alias("_lead"), *[F.col("p")[d].alias(f"_{d}") for d in others]))
+    rows = join_by_key(slim, several, text_key, "_n", n, "left")
+    rows = rows.select("doc_id", "size", "text_crc32", "_text", "_row", F.coalesce("_group", "size").alias("_group"), F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_lead")).alias("_lead"), *[F.when(F.col("_group").isNull(), F.col(d)).otherwise(F.col(f"_{d}")).alias(d) for d in others])
 
     @F.pandas_udf("long")
     def curve(*cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
     keyed = rows.withColumn("hilbert", curve(*_cells(slim, list(dims), bits)))
-    order = ["hilbert", "_lead", "_text", "doc_id"]
+    order = ["hilbert", "_lead", "_text", "doc_id", "_row"]
     parts = shuffle_partitions(spark)
-    sorted_rows = cut(keyed.select("hilbert", "_lead", "_text", "doc_id", "size", "text_crc32", "_group").repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sorted_rows = cut(keyed.select(*order, "size", "text_crc32", "_group").repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     ends = sorted_rows.groupBy("_part").agg(F.sum("size").alias("bytes")).orderBy("_part").collect()  # one row a partition
     total = sum(r["bytes"] for r in ends)
     starts, at = [], 0
@@ -81,12 +83,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("lang"
         at += r["bytes"]
     offsets = spark.createDataFrame(starts, "_part int, _before long")
     run = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sorted_rows.withColumn("_inside", F.coalesce(F.sum("size").over(run), F.lit(0))).join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_before") + F.col("_inside"))
+    placed = cut(sorted_rows.withColumn("_inside", F.coalesce(F.sum("size").over(run), F.lit(0))).join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_before") + F.col("_inside")))
     #: A group that stays whole is cut where its first row stands.
     most = int(whole_share * total / shards) if total else 0
     small = F.col("_group") <= most
-    firsts = placed.where(small & (F.col("_group") > F.col("size"))).groupBy("_text", "size", "text_crc32").agg(F.min("_at").alias("_first"))
-    placed = placed.join(firsts, ["_text", "size", "text_crc32"], "left")
+    firsts = cut(placed.where(F.col("_group") > F.col("size")).groupBy(*text_key).agg(F.min(F.when(small, F.col("_at"))).alias("_first"), F.count("*").alias("_n")))
+    placed = join_by_key(placed, firsts, text_key, "_n", n, "left")
     middle = F.when(F.col("_first").isNotNull(), F.col("_first") + F.col("_group") / 2).otherwise(F.col("_at") + F.col("size") / 2)
     dealt = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(total, 1)))).cast("int"))
     dealt = cut(dealt.select(*order, "size", "text_crc32", "_part", "shard"))

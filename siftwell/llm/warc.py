@@ -3,8 +3,9 @@
 Each response gives a `metadata` record (its title, language, charset, links and sizes as
 warc-fields) and a `conversion` record (its visible text). Both name the response in
 WARC-Refers-To with its target URI, and each other in WARC-Concurrent-To; both carry the
-response's date and payload digest, and the metadata record keeps the source headers. Record
-ids are name-based, so a retried task or a second run gives the same ids.
+response's date and payload digest and keep its source headers; a written record has them as one
+named field a header line (`SOURCE_HEADER`), in order. Record ids are name-based, so a retried task
+or a second run gives the same ids.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Fixed value: the extension field of a written record that holds one line of the source headers.
+SOURCE_HEADER = "WARC-X-Source-Header"
 
 #: What is cut with its content (first what holds no markup, then the rest), what breaks a line, and the character references that are resolved.
 DROPPED = ["script", "style", "noscript", "template", "head", "nav"]
@@ -76,7 +79,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     def record(kind: str, own: str, other: str, content: str, block: Column, headers: Column) -> Column:
         return F.struct(F.lit(kind).alias("record_type"), F.col(own).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(content).alias("content_type"), headers.alias("source_headers"), block.alias("block"))
 
-    two = F.array(record("metadata", "_meta_id", "_text_id", "application/warc-fields", fields, F.col("headers")), record("conversion", "_text_id", "_meta_id", "text/plain", F.col("_text"), F.lit(None).cast("string")))
+    two = F.array(record("metadata", "_meta_id", "_text_id", "application/warc-fields", fields, F.col("headers")), record("conversion", "_text_id", "_meta_id", "text/plain", F.col("_text"), F.col("headers")))
     rows = named.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("_payload").alias("payload_digest"), F.explode(two).alias("r"))
     return rows.select("page_id", "r.record_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "date", "r.content_type", "r.source_headers", "payload_digest", _digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block")
 
@@ -86,6 +89,7 @@ def record_text(row: DataFrame) -> Column:
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("target_uri")),
         _line("WARC-Refers-To", F.col("refers_to")), _line("WARC-Refers-To-Target-URI", F.col("target_uri")), _line("WARC-Refers-To-Date", F.col("date")), _line("WARC-Concurrent-To", F.col("concurrent_to")),
+        F.coalesce(F.regexp_replace(F.col("source_headers"), r"([^\r\n]+)(?:\r\n|\r|\n|$)", f"{SOURCE_HEADER}: $1{CRLF}"), F.lit("")),
         _line("WARC-Payload-Digest", F.col("payload_digest")), _line("WARC-Block-Digest", F.col("block_digest")), _line("Content-Type", F.col("content_type")), _line("Content-Length", F.col("content_length").cast("string")),
     )
     return F.concat(head, F.lit(CRLF), F.col("block"))
@@ -120,7 +124,7 @@ b as (select *, 'title: ' || regexp_replace(regexp_extract(payload, '(?is)<title
   || array_to_string(list_transform(regexp_extract_all(payload, '(?is)<a\s[^>]*href=["'']([^"''>]*)', 1), lambda x: 'outlink: ' || regexp_replace(x, '[\x00-\x1f\x7f]', '', 'g') || {crlf}), '') as fields,
   {uuid("'metadata'", "refers_to")} as meta_id, {uuid("'conversion'", "refers_to")} as text_id from r),
 u as (select page_id, 'metadata' as record_type, meta_id as record_id, refers_to, text_id as concurrent_to, target_uri, 'application/warc-fields' as content_type, headers as source_headers, payload, fields as block from b
-  union all select page_id, 'conversion', text_id, refers_to, meta_id, target_uri, 'text/plain', null, payload, body from b)
+  union all select page_id, 'conversion', text_id, refers_to, meta_id, target_uri, 'text/plain', headers, payload, body from b)
 select page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '{DATE}' as date, content_type, source_headers, 'sha256:' || sha256(payload) as payload_digest, 'sha256:' || sha256(block) as block_digest,
   cast(strlen(block) as bigint) as content_length, block from u
 """

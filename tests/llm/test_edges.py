@@ -372,6 +372,8 @@ def test_shards_are_even_and_groups_stay_together(spark):
     sizes = got.groupby("shard")["size"].sum()
     assert len(sizes) == 40 and sizes.max() - sizes.min() < 0.1 * sizes.mean()
     assert all(sorted(p.slot) == list(range(len(p))) for _, p in got.groupby("shard"))
+    copies = got[got["size"] == 96]
+    assert copies.groupby("shard").size().max() > 20  # a third of all rows, cut by rows
     boxes = got.groupby("shard").hilbert.agg(["min", "max"])
     assert (boxes["min"].to_numpy()[1:] >= boxes["max"].to_numpy()[:-1] - boxes["max"].max() * 0.05).all()
 
@@ -391,15 +393,29 @@ def test_records_are_linked_and_whole(spark, tmp_path):
     warc.write_warc(warc.derivatives(warc.responses(pages)).coalesce(1), str(tmp_path / "w"))
     raw = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")).read_bytes()
     records = 0
+    kept = {r.record_id: r.source_headers for r in got.values()}
+    assert all(h.startswith("HTTP/1.1 200") and h.count("\r\n") == 3 for h in kept.values())
     while raw:  # a plain reader: headers, then as many bytes as they say
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
         n = int(fields[b"Content-Length"])
+        name = f"{warc.SOURCE_HEADER}: ".encode()
+        source = b"".join(line.removeprefix(name) + b"\r\n" for line in head.split(b"\r\n") if line.startswith(name))
+        assert source.decode() == kept[fields[b"WARC-Record-ID"].decode()]
         assert head.startswith(b"WARC/1.1") and rest[n : n + 4] == b"\r\n\r\n"
         raw, records = rest[n + 4 :], records + 1
     assert records == 6
 
 
+def test_pages_of_every_kind(spark):
+    schema = "page_id long, url string, html string, headers string, payload string, r string"
+    rows = [(1, "http://a", "<p>x</p>" * 40_000, "h", "p", "r"), (1, "http://a", "<p>x</p>" * 40_000, "h", "p", "r"), (None, None, "<<>><p", "h", "p", "r"), (4, "", "\x00\r\n", None, None, None)]
+    got = warc.derivatives(warc.responses(spark.createDataFrame(rows, schema))).collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 6
+    assert max(r.content_length for r in got if r.record_type == "conversion") == 80_000 - 1
+    assert warc.derivatives(warc.responses(spark.createDataFrame([], schema))).collect() == []
+
+
 def test_hits_are_mapped_to_the_original(spark):
     text = "Intro!  ONE, two;three four five six seven eight\nnine ten eleven twelve THIRTEEN... end"
     df = spark.createDataFrame([(1, text), (2, "one two"), (3, "x " * 300 + "tiny item here")], "doc_id long, text string")

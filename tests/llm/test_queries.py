@@ -138,6 +138,21 @@ def test_sharding(spark, sf_dir, texts):
     assert set(got.law) == {"bytes"} and set(got.shard) <= set(range(40))
     for _, part in got.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
+    whole = got["size"].sum() / 40
+    assert got.groupby("shard")["size"].sum().max() <= whole + 1.02 * got["size"].max() + 0.02 * whole
+    # A plain version: rows in the order of the curve, dealt by the middle of their running bytes.
+    got["text"] = [texts[i] or "" for i in got.index]
+    lead = got.reset_index().groupby("text").doc_id.min()
+    got["lead"] = got.text.map(lead)
+    group = got.groupby("text")["size"].transform("sum")
+    firsts = got.reset_index().sort_values(["hilbert", "lead", "text", "doc_id"])
+    at = (firsts["size"].cumsum() - firsts["size"]).set_axis(firsts.doc_id)
+    first = at.groupby(got.text.reindex(at.index)).transform("min")
+    small = (group <= 0.02 * got["size"].sum() / 40) & (group > got["size"])
+    middle = (first + group.reindex(at.index) / 2).where(small.reindex(at.index), at + got["size"].reindex(at.index) / 2)
+    plain = np.minimum(39, (middle * 40 / got["size"].sum()).astype(int))
+    tied = firsts.groupby(["hilbert", "lead"]).text.transform("nunique").set_axis(firsts.doc_id) > 1
+    assert (plain == got.shard.reindex(plain.index))[~tied].all() and (~tied).mean() > 0.9
 
 
 def test_pipeline_against_plain_stages(spark, sf_dir, texts):
