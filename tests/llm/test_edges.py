@@ -453,7 +453,51 @@ def test_items_without_an_id_hit_but_are_not_listed(spark):
 
 def test_licences_inherit_from_the_nearest_ancestor(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
-    rows = [(1, apache, "a/LICENSE"), (2, "code", "a/x.py"), (3, "code", "a/b/y.py"), (4, mit, "a/b/c/COPYING"), (5, "code", "a/b/c/d/z.py"), (6, "long prose of no licence " * 20 + "\n" + mit, "q/w.py"), (7, "other", "q/v.py"), (8, None, "a/n"), (9, "top", "r.py")]
+    rows = [(1, apache, "a/LICENSE"), (2, "code", "a/x.py"), (3, "code", "a/b/y.py"), (4, mit, "a/b/c/COPYING"), (5, "code", "a/b/c/d/z.py"), (6, "long prose of no licence " * 20 + "\n" + mit, "q/w.py"), (7, "other", "q/v.py"), (8, None, "a/n"), (9, "top", "r.py"), (None, mit, "z/one"), (None, "nothing", "z/two"), (None, "no path", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, path string")
-    got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.licenses(df, F.col("path")).collect()}
-    assert got == {1: ("Apache-2.0", "own", None), 2: ("Apache-2.0", "inherited", "a"), 3: ("Apache-2.0", "inherited", "a"), 4: ("MIT", "own", None), 5: ("MIT", "inherited", "a/b/c"), 6: ("MIT", "own", None), 7: (None, "none", None), 8: ("Apache-2.0", "inherited", "a"), 9: (None, "none", None)}
+    got = {(r.doc_id or r.path): (r.license, r.origin, r.from_dir) for r in licenses.licenses(df, F.col("path")).collect()}
+    assert got == {1: ("Apache-2.0", "own", None), 2: ("Apache-2.0", "inherited", "a"), 3: ("Apache-2.0", "inherited", "a"), 4: ("MIT", "own", None), 5: ("MIT", "inherited", "a/b/c"), 6: ("MIT", "own", None), 7: (None, "none", None), 8: ("Apache-2.0", "inherited", "a"), 9: (None, "none", None), "z/one": ("MIT", "own", None), "z/two": ("MIT", "inherited", "z"), "": (None, "none", None)}
+
+
+HEADER = """# Copyright 2020 Somebody Else
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+
+def run():
+    return os.getcwd()
+"""
+WRAPPED = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main(void) { return 0; }
+"""
+
+
+def test_whole_licence_texts_and_wrapped_headers(spark):
+    whole = dict(licenses.texts())
+    rows = [(f"{n}/LICENSE", t.replace("<year>", "2021").replace("<owner>", "A. Body").replace("<copyright holders>", "A. Body and others")) for n, t in whole.items()]
+    rows += [(f"{n}/src/code.c", "int x = 1;") for n in whole]
+    prose = "The software is provided with no claim. " + "There the work of the people and the use of a copy was, in the end, more than any person had to do. " * 80
+    code = "".join(f"value{i} = compute{i}(left{i}, right{i})\n" for i in range(60))
+    rows += [("py/a.py", HEADER + code), ("py/b.py", "import a"), ("c/a.c", WRAPPED + code), ("c/b.c", "int y;"), ("prose/a.txt", prose + "\nThis work is licensed under the GNU General Public License, version 3.\n"), ("prose/b.txt", prose)]
+    rows += [(f"many/f{i}", f"other text {i} of many words that have nothing to do with it") for i in range(60)]
+    df = spark.createDataFrame([(None, t, p, 1, 1) for p, t in rows], "doc_id long, text string, path string, h1 int, dir int")
+    got = {r.path: (r.license, r.origin) for r in licenses.licenses(df, F.col("path")).collect()}
+    for n in whole:
+        assert got[f"{n}/LICENSE"] == (n, "own") and got[f"{n}/src/code.c"] == (n, "inherited")
+    assert got["py/a.py"] == ("Apache-2.0", "own") and got["c/a.c"] == ("GPL-3.0", "own") and got["prose/a.txt"] == ("GPL-3.0", "own")
+    assert got["py/b.py"] == got["c/b.c"] == got["prose/b.txt"] == got["many/f1"] == (None, "none")
