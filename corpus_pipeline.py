@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of `documents`. Rows are judged by their own text, or as a member of their near-duplicate
-group, so a null doc_id never drops a row.
+group, of which exactly one row stays; a null doc_id alone never drops a row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import decontam, packing, pii, simhash, toxicity
 from siftwell.llm.common import scratch, table
+from siftwell.materialise import discard
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least doc_id."""
+    """One row of each near-duplicate group: of those with the least doc_id, the first in a fixed order."""
     return simhash.drop_near_copies(docs)
 
 
@@ -53,11 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each result is written to the shared folder and read again."""
+    """Applies the stages to `documents`; each result is written to the shared folder and read again.
+    A stage's table goes when the next one is whole; the last one is what the result reads."""
     docs = table(spark, sf_dir, "documents")
     folder = scratch(spark, f"pipeline-{uuid.uuid4().hex}")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs

@@ -23,6 +23,12 @@ def prepare_checkpoints(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that a job wrote for itself; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder.
 
