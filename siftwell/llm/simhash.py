@@ -248,7 +248,8 @@ def drop_near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # Keys of many equal rows are few, so they are broadcast; only rows of the other keys are shuffled.
     rows = whole.select("row", *key)
     single = rows.join(F.broadcast(leave.where(hot).select(*key)), key, "left_anti")
-    once = single.join(leave.where(~hot).select(*key), key, "left_anti")
+    # Keys that go are as many as rows may be: a merge join at every size, never a broadcast.
+    once = single.join(leave.where(~hot).select(*key).hint("merge"), key, "left_anti")
     if several.isEmpty():
         return once.select("row.*")
     repeated = rows.join(F.broadcast(several.where(hot).select(*key)), key, "left_semi").unionByName(single.join(several.where(~hot).select(*key), key, "left_semi"))
