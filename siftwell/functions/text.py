@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,10 +103,13 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s ﻿]+|[\s ﻿]+$", "")
 
 
-def index_key(path: Column, root: str) -> Column:
-    """An absolute or relative path as the index stores it; null when it lies outside `root`."""
+def index_key(path: Column, root: str, home: str | None = None) -> Column:
+    """An absolute or relative path as the index stores it; null when it lies outside `root`. A
+    leading `~` is `home`, the user's own folder unless another is named."""
     root = root.rstrip("/")
-    whole = normalise(path)
+    own = (home if home is not None else os.path.expanduser("~")).rstrip("/")
+    plain = normalise(path)
+    whole = F.when(plain == "~", F.lit(own)).when(plain.startswith("~/"), F.concat(F.lit(own), F.substring(plain, 2, 1 << 30))).otherwise(plain)
     inside = F.when(whole.startswith(root + "/"), F.substring(whole, len(root) + 2, 1 << 30)).when(~whole.startswith("/"), whole)
     # `a/../b` and `.` are resolved part by part; climbing above the root is outside.
     parts = F.filter(F.split(inside, "/"), lambda p: (p != "") & (p != "."))

@@ -49,6 +49,16 @@ def note(touches: DataFrame, path: str, now_ms: int) -> DataFrame:
     return _last(touches.where(~old).unionByName(spark.createDataFrame([(path, now_ms)], "path string, at_ms long")))
 
 
+def note_all(touches: DataFrame, new: list[tuple[str, int]]) -> DataFrame:
+    """Adds a list of touches (path, at_ms) as so many calls of `note` would: one plan, however many."""
+    if not new:
+        return touches
+    added = touches.sparkSession.createDataFrame(new, "path string, at_ms long")
+    newest = F.broadcast(added.groupBy("path").agg(F.max("at_ms").alias("_newest")))
+    old = touches.join(newest, "path", "left").where(F.col("_newest").isNull() | (F.col("at_ms") >= F.col("_newest") - MAX_DAYS * DAY_MS))
+    return _last(old.select("path", "at_ms").unionByName(added))
+
+
 def parse(raw: Column) -> Column:
     """A JSON object of path to times as map<string, array<bigint>>; what is no positive number is
     dropped, what is no object is empty. One bad element never voids the rest."""

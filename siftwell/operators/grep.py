@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.score import typo_budget
 from siftwell.functions.text import bytes_look_binary, looks_binary, searchable
 from siftwell.operators.paging import Page, page_of
-from siftwell.operators.trigrams import Index, candidates, text_of, with_unindexed
+from siftwell.operators.trigrams import Index, narrow, text_of
 from siftwell.plans import planner
 
 MODES = ("literal", "regex", "fuzzy")
@@ -129,24 +129,30 @@ def plan_of(pattern: str, mode: str, ignore_case: bool) -> planner.Plan:
     return planner.for_regex(pattern, ignore_case) if mode == "regex" else planner.All()
 
 
-def grep_lines(files: DataFrame, pattern: str, mode: str = "literal", ignore_case: bool = True, index: Index | None = None, glob: str | None = None, rarest: DataFrame | None = None) -> DataFrame:
-    """path, line (from 1), text, start, stop of every matching line of `files` (file_id, path, size,
-    content and perhaps alive). An empty pattern matches nothing; `glob` without its stars must be
-    part of the path. Binary files, by name or by a NUL near the start, are left out."""
-    spark = files.sparkSession
+def checked_plan(spark: SparkSession, pattern: str, mode: str, ignore_case: bool) -> planner.Plan:
+    """The plan, after the mode and a regular expression are known to be valid."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "regex" and pattern != "":
         check_pattern(spark, java_pattern(pattern, ignore_case))
+    return plan_of(pattern, mode, ignore_case)
+
+
+def grep_lines(files: DataFrame, pattern: str, mode: str = "literal", ignore_case: bool = True, index: Index | None = None, glob: str | None = None, rarest: DataFrame | None = None, longest: int | None = None) -> DataFrame:
+    """path, line (from 1), text, start, stop of every matching line of `files` (file_id, path, size,
+    content and perhaps alive). An empty pattern matches nothing; `glob` without its stars must be
+    part of the path. Binary files, by name or by a NUL near the start, are left out. Text is whole,
+    or cut to `longest` characters once it has matched."""
+    spark = files.sparkSession
+    plan = checked_plan(spark, pattern, mode, ignore_case)
     if pattern == "":
         return spark.createDataFrame([], SCHEMA)
     alive = F.col("alive") if "alive" in files.columns else F.lit(True)
     wanted = files.where(alive & searchable(F.col("path"), F.col("size")))
     if glob:
         wanted = wanted.where(F.col("path").contains(glob.replace("*", "")))
-    plan = plan_of(pattern, mode, ignore_case)
-    if index is not None and (found := candidates(index, plan, rarest)) is not None:
-        wanted = wanted.join(with_unindexed(found, index, files), "file_id", "left_semi")
+    if index is not None:
+        wanted, _ = narrow(wanted, index, plan, rarest)
     sniffed = bytes_look_binary(F.col("content")) if dict(files.dtypes)["content"] == "binary" else looks_binary(F.col("content"))
     text = text_of(files)
     whole = wanted.where(~sniffed)
@@ -154,7 +160,8 @@ def grep_lines(files: DataFrame, pattern: str, mode: str = "literal", ignore_cas
         # A line can only hold what its file holds: files without the literal are not split.
         whole = whole.where((F.lower(text) if ignore_case else text).contains(F.lower(F.lit(pattern)) if ignore_case else F.lit(pattern)))
     lines = whole.select("path", F.posexplode(lines_of(text)).alias("n", "text")).select("path", (F.col("n") + 1).cast("int").alias("line"), "text")
-    return match_lines(lines, pattern, mode, ignore_case).select("path", "line", "text", "start", "stop")
+    shown = F.col("text") if longest is None else F.substring("text", 1, longest)
+    return match_lines(lines, pattern, mode, ignore_case).select("path", "line", shown.alias("text"), "start", "stop")
 
 
 def grep(files: DataFrame, pattern: str, mode: str = "literal", ignore_case: bool = True, index: Index | None = None, glob: str | None = None, limit: int = 20, cursor: str | None = None, early_stop: bool = False, rarest: DataFrame | None = None) -> Page:
@@ -167,10 +174,5 @@ def grep(files: DataFrame, pattern: str, mode: str = "literal", ignore_case: boo
 
 def scanned(files: DataFrame, pattern: str, mode: str, ignore_case: bool, index: Index) -> int:
     """How many files a search verifies."""
-    found = candidates(index, plan_of(pattern, mode, ignore_case))
-    pool = files.where(searchable(F.col("path"), F.col("size")))
-    return (pool if found is None else pool.join(with_unindexed(found, index, files), "file_id", "left_semi")).count()
-
-
-def shortened(text: Column, most: int = 400) -> Column:
-    return F.substring(text, 1, most)
+    pool, _ = narrow(files.where(searchable(F.col("path"), F.col("size"))), index, plan_of(pattern, mode, ignore_case))
+    return pool.select("file_id").count()

@@ -48,10 +48,12 @@ def text_of(files: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings and the ids whose content they cover."""
+    """Postings and the ids whose content they cover. `outside`, where it is known, holds the ids of
+    all other files that a search may read, so that a search need not look for them."""
 
     postings: DataFrame
     indexed: DataFrame
+    outside: DataFrame | None = None
 
     def has(self, file_id: int) -> bool:
         return not self.indexed.where(F.col("file_id") == file_id).isEmpty()
@@ -76,6 +78,13 @@ def build(files: DataFrame, arrange: bool = True) -> Index:
     return Index(postings, own.select("file_id"))
 
 
+def closed(index: Index, files: DataFrame) -> Index:
+    """The index with the files of `files` that it does not cover, found once for many searches. It
+    holds as long as `files` does; `add` and `remove` open it again."""
+    alive = F.col("alive") if "alive" in files.columns else F.lit(True)
+    return Index(index.postings, index.indexed, files.where(alive & ~binary_name(F.col("path"))).join(index.indexed, "file_id", "left_anti").select("file_id"))
+
+
 def remove(index: Index, gone: DataFrame) -> Index:
     """Without the files of `gone` (file_id); ids that are not there change nothing."""
     ids = gone.select("file_id").distinct()
@@ -125,6 +134,28 @@ def candidates(index: Index, plan: Plan, rarest: DataFrame | None = None, demand
 
 
 def with_unindexed(found: DataFrame, index: Index, files: DataFrame) -> DataFrame:
-    """Adds the files that no index covers (too large, empty) and that are no binaries by name."""
-    missing = files.where(~binary_name(F.col("path"))).join(index.indexed, "file_id", "left_anti").select("file_id")
-    return found.unionByName(missing).distinct()
+    """Adds the files that no index covers (too large, empty, unknown to it) and that are no binaries
+    by name. A file is in one of the two, so nothing is there twice."""
+    outside = index.outside if index.outside is not None else closed(index, files).outside
+    return found.select("file_id").unionByName(outside)
+
+
+#: Most candidates whose ids go into the scan as a filter.
+PUSHED_IDS = 4096
+
+
+def narrow(files: DataFrame, index: Index, plan: Plan, rarest: DataFrame | None = None, most: int = PUSHED_IDS) -> tuple[DataFrame, list[int] | None]:
+    """The files that a search must read, and their ids if they are at most `most`.
+
+    So few ids are collected and become a filter on file_id, which reaches the scan: row groups
+    whose statistics exclude them are not read, and no content is moved for a join. More candidates
+    meet the files in a semi-join. A plan that narrows nothing gives all files.
+    """
+    found = candidates(index, plan, rarest)
+    if found is None:
+        return files, None
+    pool = with_unindexed(found, index, files)
+    ids = [r["file_id"] for r in pool.limit(most + 1).collect()]
+    if len(ids) > most:
+        return files.join(pool, "file_id", "left_semi"), None
+    return files.where(F.col("file_id").isin(ids)), sorted(ids)

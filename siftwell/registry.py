@@ -6,17 +6,21 @@ touches and snapshots are in `siftwell.sources.tree` and below.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.formatting import files_text, remaining, shown_line
 from siftwell.functions import score, text
-from siftwell.formatting import shown_line
+from siftwell.materialise import prepare_checkpoints
 from siftwell.operators import find, frecency, grep, maintain, trigrams
 from siftwell.plans import planner
 from siftwell.sources.ignore import ignored, parse_rules
-from siftwell.sources.tree import from_documents, from_pages, spread
+from siftwell.sources import store
+from siftwell.sources.tree import capped, from_documents, from_pages, scan, spread, write_tree
+from siftwell.streaming.changes import route, tree_events
 
 #: Fixed value: the clock of every query, 2024-01-31T00:00:00Z.
 NOW = 1_706_659_200_000
@@ -62,6 +66,19 @@ TOUCHES_SQL = f"""touches as (select path, epoch_us(cast(ts as timestamp)) // 10
 LINES_SQL = "lines as (select file_id, path, unnest(string_split_regex(content, '\\r?\\n')) as text, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) as line from docs)"
 
 
+def _score_sql(needle: str, budget: int) -> str:
+    """The fuzzy match of every line by its definition: from each start, the needle's characters in order
+    within a reach, at most `budget` missing and one placed; the leftmost start that works."""
+    reach = max(3 * len(needle), len(needle) + 8)
+    chars = ", ".join(f"'{c}'" for c in needle)
+    state = "{'at': cast(b as bigint), 'missing': 0, 'c': ''}"
+    at = "instr(substr(t, s.at, b + %d + 1 - s.at), k.c)" % reach
+    step = f"case when {at} > 0 then {{'at': s.at + {at}, 'missing': s.missing, 'c': ''}} else {{'at': s.at, 'missing': s.missing + 1, 'c': ''}} end"
+    walk = f"list_reduce(list_prepend({state}, list_transform([{chars}], lambda x: {{'at': cast(0 as bigint), 'missing': 0, 'c': x}})), lambda s, k: {step})"
+    return f"""tried as (select path, line, text, b, {walk} as s from (select *, lower(text) as t, unnest(range(1, length(text) + 1)) as b from lines)),
+best as (select path, line, any_value(text) as text, min(b) as b, arg_min(s.at, b) as till from tried where s.missing <= {budget} and s.missing < {len(needle)} group by path, line)"""
+
+
 def _hits_sql(condition: str, start: str, stop: str, tail: str = "") -> str:
     return f"with {DOCS_SQL}, {LINES_SQL} select path, cast(line as integer) as line, text, cast({start} as integer) as start, cast({stop} as integer) as stop from lines where {condition} {tail}"
 
@@ -135,12 +152,56 @@ def grep_regex_cs(spark, sf_dir):
     return grep.grep_lines(files, "(MIT|Apache) License", "regex", ignore_case=False, index=trigrams.build(files, arrange=False))
 
 
-@query()
+@query(f"with {DOCS_SQL}, {LINES_SQL}, {_score_sql('licenced undr', score.typo_budget('licenced undr'))} select path, cast(line as integer) as line, text, cast(b - 1 as integer) as start, cast(till - 1 as integer) as stop from best")
 def grep_fuzzy(spark, sf_dir):
     """Lines that hold something like a word."""
     return grep.grep_lines(documents(spark, sf_dir), "licenced undr", "fuzzy")
 
 
+@query(_hits_sql("false", "0", "0"))
+def grep_empty(spark, sf_dir):
+    """An empty pattern matches no line."""
+    return grep.grep_lines(documents(spark, sf_dir), "")
+
+
+@query(_hits_sql("contains(lower(text), 'licensed')", "instr(lower(text), 'licensed') - 1", "instr(lower(text), 'licensed') + 7").replace("line, text,", "line, left(text, 40) as text,", 1))
+def grep_cut_text(spark, sf_dir):
+    """Matches whose text is cut once it has matched."""
+    return grep.grep_lines(documents(spark, sf_dir), "licensed", longest=40)
+
+
+@query(f"""with {DOCS_SQL}, {LINES_SQL} select mode, case when mode = 'regex' then (select count(*) from lines where regexp_matches(text, '[0-9]+')) else (select count(*) from lines where contains(lower(text), 'of')) end as lines
+  from (values ('regex'), ('literal')) as m(mode)""")
+def grep_nothing_narrows(spark, sf_dir):
+    """Searches with an index whose plans require nothing: every file is read."""
+    files = documents(spark, sf_dir)
+    index = trigrams.build(files, arrange=False)
+    counts = [grep.grep_lines(files, pattern, mode, index=index).select(F.lit(mode).alias("mode")) for mode, pattern in (("regex", "[0-9]+"), ("literal", "of"))]
+    return counts[0].unionByName(counts[1]).groupBy("mode").agg(F.count("*").alias("lines"))
+
+
+@query(f"with {DOCS_SQL} select 'license' as pattern, count(*) filter (contains(lower(content), 'lic') and contains(lower(content), 'ice') and contains(lower(content), 'cen') and contains(lower(content), 'ens') and contains(lower(content), 'nse')) as scanned, count(*) as files from docs")
+def grep_scanned(spark, sf_dir):
+    """How many files a narrowed search verifies, and how many there are."""
+    files = documents(spark, sf_dir)
+    n = grep.scanned(files, "license", "literal", True, trigrams.build(files, arrange=False))
+    return files.agg(F.count("*").alias("files")).select(F.lit("license").alias("pattern"), F.lit(n).cast("bigint").alias("scanned"), "files")
+
+
+@query("select pattern, error from (values ('a(b', true), ('a(b)', false), ('[z', true), ('x{2,1}', true)) as p(pattern, error)")
+def grep_invalid_patterns(spark, sf_dir):
+    """Which patterns are refused: an error, never an empty page."""
+
+    def refused(pattern: str) -> bool:
+        try:
+            grep.grep_lines(documents(spark, sf_dir), pattern, "regex")
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(p, refused(p)) for p in ("a(b", "a(b)", "[z", "x{2,1}")], "pattern string, error boolean")
+
+
 @query(_hits_sql("contains(lower(text), 'tion') and contains(path, '/en/')", "instr(lower(text), 'tion') - 1", "instr(lower(text), 'tion') + 3"))
 def grep_glob(spark, sf_dir):
     """A search within some paths."""
@@ -167,7 +228,7 @@ def grep_early_stop(spark, sf_dir):
     return spark.createDataFrame([(page.total, page.cursor, page.exact)], "total bigint, cursor string, exact boolean")
 
 
-@query(f"""with {DOCS_SQL}, {LINES_SQL} select path || ':' || line || ': ' || case when length(t) > 200 then left(t, 200) || '… (line truncated — read the file for the rest)' else t end as shown
+@query(f"""with {DOCS_SQL}, {LINES_SQL} select path || ':' || line || ': ' || case when length(t) > 200 then left(t, 200) || ' […]' else t end as shown
   from (select path, line, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from lines where contains(lower(text), 'licensed'))""")
 def grep_shown(spark, sf_dir):
     """Matches as they are shown."""
@@ -243,6 +304,32 @@ def index_replace(spark, sf_dir):
     return trigrams.frequencies(trigrams.add(trigrams.build(files, arrange=False), changed))
 
 
+@query(f"""with {_CHARS} select file_id from post where trigram in ('rel', 'ele', 'lea', 'eas', 'ase', 'sed') group by file_id having count(*) = 6
+  union select file_id from post where trigram in ('apa', 'pac', 'ach', 'che') group by file_id having count(*) = 4""")
+def candidates_of_patterns(spark, sf_dir):
+    """Files that may hold any of several patterns: one plan for all, and the runs that a regular expression requires."""
+    plans = [planner.for_literal("Released"), planner.for_regex("x?(?:Apache)+[0-9]*")]
+    return trigrams.candidates(trigrams.build(documents(spark, sf_dir), arrange=False), planner.for_patterns(plans))
+
+
+@query(f"with {DOCS_SQL} select file_id, file_id % 3 = 0 as has, (select count(*) from docs where file_id % 3 = 0) as size from docs where file_id in (3, 4, 5, 6)")
+def index_has_and_size(spark, sf_dir):
+    """Whether files are in an index, and how many are."""
+    index = trigrams.build(documents(spark, sf_dir).where("file_id % 3 = 0"), arrange=False)
+    size = index.size()
+    return spark.createDataFrame([(i, index.has(i), size) for i in (3, 4, 5, 6)], "file_id bigint, has boolean, size bigint")
+
+
+@query(f"with {_CHARS} select trigram, cast(count(*) as bigint) as df, (select count(*) from docs) as files from post group by trigram")
+def stored_index(spark, sf_dir):
+    """An index through its stored form and back, with its guards."""
+    files, root = documents(spark, sf_dir), sf_dir
+    path = f"{prepare_checkpoints(spark)}/stored-{uuid.uuid4().hex}"
+    store.save(trigrams.build(files), files, path, root)
+    index, known = store.load(spark, path, root)
+    return trigrams.frequencies(index).withColumn("files", F.lit(known.count()).cast("bigint"))
+
+
 # ---- path lookup ----------------------------------------------------------------------------
 
 
@@ -312,6 +399,20 @@ def git_boost(spark, sf_dir):
     return documents(spark, sf_dir).select("path", score.git_boost(state).cast("int").alias("boost"))
 
 
+@query(f"with {DOCS_SQL} select path, cast({_RECENCY} as integer) as score, size, mtime_ms from docs order by score desc, path limit 100")
+def find_tool_page(spark, sf_dir):
+    """A caller's page: the query is trimmed, the limit held at 100, and hits show size and time."""
+    return find.find_tool(documents(spark, sf_dir), "   ", NOW, limit=5000).items.select("path", "score", "size", "mtime_ms")
+
+
+@query(f"with {DOCS_SQL}, h as (select path, cast({_RECENCY} as integer) as score from docs order by score desc, path limit 20 offset 20) select string_agg(path, chr(10) order by score desc, path) as shown, (select count(*) - 40 from docs) as remaining from h")
+def find_shown(spark, sf_dir):
+    """The lines of a page of files as they are shown, and what remains."""
+    page = find.find(documents(spark, sf_dir), "", NOW, cursor="20")
+    shown = files_text(page, "").split("\n\n")[0].split("\n", 1)[1]
+    return spark.createDataFrame([(shown, remaining(page))], "shown string, remaining bigint")
+
+
 # ---- access history -------------------------------------------------------------------------
 
 
@@ -348,6 +449,16 @@ def history_json_round_trip(spark, sf_dir):
     return back.select("path", F.size("times").cast("bigint").alias("n"), F.col("times")[0].alias("first"), F.element_at("times", -1).alias("last"))
 
 
+@query(f"""with {DOCS_SQL}, {TOUCHES_SQL}, a as (select path, at_ms from touches union all select 'docs/new', {NOW} union all select (select min(path) from touches), {NOW}),
+n as (select a.path, a.at_ms from a where not (path = (select min(path) from touches) and at_ms < {NOW} - 7 * 86400000))
+select path, at_ms from (select *, row_number() over (partition by path order by at_ms desc) as n from n) where n <= 128""")
+def history_noted(spark, sf_dir):
+    """History after two accesses were noted, of a new path and of a known one."""
+    all_touches = touches(spark, sf_dir).select("path", "at_ms")
+    known = all_touches.agg(F.min("path")).first()[0]
+    return frecency.note_all(frecency.note(all_touches, "docs/new", NOW), [(known, NOW)])
+
+
 # ---- scan filters ---------------------------------------------------------------------------
 
 _RULES = """
@@ -430,3 +541,83 @@ def forget_files(spark, sf_dir):
     files = documents(spark, sf_dir)
     _, marked = maintain.forget(trigrams.build(files, arrange=False), files.drop("content"), files.where("file_id % 6 = 1"))
     return marked.select("path", "alive")
+
+
+@query(f"with {DOCS_SQL} select path, size + 1 as size, md5(content || '!') as digest from docs where lang <> 'de' and doc_id % 9 <> 4".replace("from docs where", "from (select docs.*, lang, doc_id from docs join documents on doc_id = file_id) where"))
+def tree_scan(spark, sf_dir):
+    """A tree of files: written, listed with ignore rules, skipped and hidden directories, and read."""
+    files = documents(spark, sf_dir).select("file_id", "path", F.concat("content", F.lit("!")).alias("content"))
+    root = f"{prepare_checkpoints(spark)}/tree-{uuid.uuid4().hex}"
+    place = F.when(F.col("file_id") % 9 == 4, F.concat(F.lit("docs/node_modules/"), F.col("file_id").cast("string"), F.lit(".txt"))).otherwise(F.col("path"))
+    write_tree(files.select(place.alias("path"), "content"), root)
+    return scan(spark, root, rules=parse_rules("/docs/de")).select("path", "size", F.md5("content").alias("digest"))
+
+
+@query(f"with {DOCS_SQL} select path, row_number() over (order by path) as n from docs order by path limit 7")
+def tree_capped(spark, sf_dir):
+    """The first files of a tree by path: the same set on every run."""
+    from pyspark.sql import Window
+
+    chosen = capped(documents(spark, sf_dir).select("path"), 7)
+    return chosen.select("path", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("n"))
+
+
+@query(f"""with {DOCS_SQL} select path, file_id % 4 = 1 as binary_bytes, file_id % 4 = 1 as binary_text, md5(case file_id % 4 when 0 then left(content, 20) || chr(65533) || 'x' when 1 then 'a' || chr(0) || 'b' else left(content, 20) end) as digest from docs""")
+def lossy_text(spark, sf_dir):
+    """Bytes as text: what is no UTF-8 is replaced, and a NUL near the start marks binary content."""
+    head = F.left("content", F.lit(20))
+    raw = F.when(F.col("file_id") % 4 == 0, F.concat(head.cast("binary"), F.unhex(F.lit("FF")), F.lit("x").cast("binary"))).when(F.col("file_id") % 4 == 1, F.unhex(F.lit("610062"))).otherwise(head.cast("binary"))
+    rows = documents(spark, sf_dir).select("path", raw.alias("raw"))
+    return rows.select("path", text.bytes_look_binary(F.col("raw")).alias("binary_bytes"), text.looks_binary(text.decoded(F.col("raw"))).alias("binary_text"), F.md5(text.decoded(F.col("raw")).cast("binary")).alias("digest"))
+
+
+@query(f"""with {PAGES_SQL}, p as (select file_id, path, case file_id % 5 when 0 then './' || path when 1 then '/root/tree/' || path when 2 then '/else/' || path when 3 then 'a/../' || replace(path, '/', chr(92)) else '~/tree/' || path end as given from site)
+select given, case file_id % 5 when 2 then null else regexp_replace(path, '/+$', '') end as key from p""")
+def index_keys(spark, sf_dir):
+    """Paths as tools name them, as the index has them; null outside the tree."""
+    path, n = F.col("path"), F.col("file_id") % 5
+    given = F.when(n == 0, F.concat(F.lit("./"), path)).when(n == 1, F.concat(F.lit("/root/tree/"), path)).when(n == 2, F.concat(F.lit("/else/"), path)).when(n == 3, F.concat(F.lit("a/../"), F.replace(path, F.lit("/"), F.lit("\\")))).otherwise(F.concat(F.lit("~/tree/"), path))
+    return pages(spark, sf_dir).select(given.alias("given")).select("given", text.index_key(F.col("given"), "/root/tree", "/root").alias("key"))
+
+
+@query("""select root, '/c/siftwell/' || regexp_replace(root, '^.*/', '') || '-' || left(sha256(lower(root)), 16) || '.idx' as place from (select distinct '/data/' || lang || '/' || source as root from documents)""")
+def cache_places(spark, sf_dir):
+    """Where the indexes of trees are kept."""
+    roots = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("/data/"), "lang", F.lit("/"), "source")).distinct().collect()]  # a row a source
+    return spark.createDataFrame([(r, store.cache_path(r, {"XDG_CACHE_HOME": "/c"}, "linux")) for r in roots], "root string, place string")
+
+
+@query(f"with {_OLD} select count(*) filter (old.size = new.size and old.mtime_ms = new.mtime_ms) as reused, count(*) filter (old.path is null or old.size <> new.size) as rebuilt, true as dirty, false as dirty_again from new left join old using (path)")
+def reconcile_counters(spark, sf_dir):
+    """How many files kept their postings, how many were read, and whether the index is worth writing."""
+    old, new = _snapshots(spark, sf_dir)
+    diff = maintain.status(old, new)
+    counted = maintain.stats(diff)
+    return spark.createDataFrame([(counted.reused, counted.rebuilt, maintain.dirty(diff, True), maintain.dirty(maintain.status(new, new), True))], "reused bigint, rebuilt bigint, dirty boolean, dirty_again boolean")
+
+
+@query(f"""with {_CHARS}, z as (select file_id, unnest(list_transform(range(1, 4), lambda i: substr('fresh', i, 3))) as trigram from docs where file_id = 8)
+select trigram, cast(count(*) as bigint) as df from (select file_id, trigram from post where file_id <> 8 union all select file_id, trigram from z) group by trigram""")
+def refresh_one(spark, sf_dir):
+    """Postings after one file changed: its old ones are gone, its id stays."""
+    files = documents(spark, sf_dir)
+    changed = files.where("file_id = 8").withColumns({"file_id": F.lit(-1).cast("long"), "content": F.lit("Fresh"), "size": F.lit(5).cast("long")})
+    index, _ = maintain.refresh(trigrams.build(files, arrange=False), files, changed)
+    return trigrams.frequencies(index)
+
+
+@query(f"with {_OLD} select coalesce(old.path, new.path) as path, case when new.path is null then 'remove' else 'upsert' end as op, cast(7 as bigint) as at_ms from old full outer join new on old.path = new.path where old.path is null or new.path is null or old.size <> new.size")
+def watched_events(spark, sf_dir):
+    """What a watcher tells between two listings."""
+    return tree_events(*_snapshots(spark, sf_dir), 7)
+
+
+@query(f"with {DOCS_SQL}, e as (select path, case event_type when (select min(event_type) from events) then 'read' when (select max(event_type) from events) then 'edit' else 'shell' end as tool, event_id from events join docs on file_id = event_id % (select count(*) from documents)) select path, event_id as at_ms, tool = 'edit' as changed from e where tool <> 'shell'")
+def routed_events(spark, sf_dir):
+    """Tool events as touches, and those that change a file."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ends = events.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    named = events.select((F.col("event_id") % n).alias("file_id"), F.col("event_id").alias("at_ms"), F.when(F.col("event_type") == ends["a"], "read").when(F.col("event_type") == ends["b"], "edit").otherwise("shell").alias("tool")).join(documents(spark, sf_dir).select("file_id", "path"), "file_id")
+    touched, changed = route(named)
+    return touched.join(changed.select("path", "at_ms", F.lit(True).alias("changed")), ["path", "at_ms"], "left").select("path", "at_ms", F.coalesce("changed", F.lit(False)).alias("changed"))

@@ -46,15 +46,39 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the file, then renames: a reader sees the old or the new one."""
+    """Writes beside the file, then renames over it in one step: a reader sees the old or the new one."""
     fs, place = _fs(spark, path)
     beside = f"{path}.{uuid.uuid4().hex}"
     out = fs.create(place(beside), True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(place(path), False)
-    if not fs.rename(place(beside), place(path)):
-        raise OSError(f"cannot rename {beside}")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    how[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(place(path).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(place(beside)), fs.makeQualified(place(path)), how)
+
+
+def _get(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of a folder; None if there is none or it is not whole."""
+    fs, place = _fs(spark, path)
+    if not fs.exists(place(f"{path}/{MANIFEST}")):
+        return None
+    stream = fs.open(place(f"{path}/{MANIFEST}"))
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+
+
+def _clean(spark: SparkSession, path: str, keep: set[str]) -> None:
+    """Deletes versions that neither the manifest nor the one before it names: a reader that has
+    just read the last manifest still finds its files."""
+    fs, place = _fs(spark, path)
+    for status in fs.listStatus(place(path)):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in keep:
+            fs.delete(status.getPath(), True)
 
 
 def save(index: Index, files: DataFrame, path: str, root: str) -> dict:
@@ -66,15 +90,17 @@ def save(index: Index, files: DataFrame, path: str, root: str) -> dict:
     index.indexed.write.parquet(f"{whole}/indexed")
     files.drop("content").write.parquet(f"{whole}/files")
     manifest = {"format": FORMAT, "root": root, "version": version, "files": spark.read.parquet(f"{whole}/files").count(), "postings": spark.read.parquet(f"{whole}/postings").count()}
+    before = _get(spark, path) or {}
     _put(spark, f"{path}/{MANIFEST}", json.dumps(manifest))
+    _clean(spark, path, {version, before.get("version")})
     return manifest
 
 
 def load(spark: SparkSession, path: str, root: str) -> tuple[Index, DataFrame] | None:
     """The stored index and files, or None: absent, of another format or root, or not whole."""
     try:
-        manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/{MANIFEST}").collect()))
-        if manifest["format"] != FORMAT or manifest["root"] != root:
+        manifest = _get(spark, path)
+        if manifest is None or manifest["format"] != FORMAT or manifest["root"] != root:
             return None
         whole = f"{path}/{manifest['version']}"
         postings, indexed, files = (spark.read.parquet(f"{whole}/{n}") for n in ("postings", "indexed", "files"))
@@ -87,24 +113,20 @@ def load(spark: SparkSession, path: str, root: str) -> tuple[Index, DataFrame] |
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
     """touches of a stored history; none if there is none."""
-    try:
-        return spark.read.parquet(path).select("path", "at_ms")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    manifest = _get(spark, path)
+    if manifest is None:
         return spark.createDataFrame([], "path string, at_ms long")
+    return spark.read.schema("path string, at_ms long").parquet(f"{path}/{manifest['version']}")
 
 
 def save_history(touches: DataFrame, path: str, now_ms: int) -> None:
-    """Folds touches into what is stored now, so writers do not lose each other's; the new table is
-    written beside the old one and takes its place."""
+    """Folds touches into what is stored now, so writers do not lose each other's. The new table is a
+    version of its own, and the manifest names it once it is whole: a crash leaves the old one."""
     spark = touches.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
-    prune(merge(load_history(spark, path), touches), now_ms).where("path <> ''").write.parquet(beside)
-    fs, place = _fs(spark, path)
-    fs.delete(place(path), True)
-    if not fs.rename(place(beside), place(path)):
-        raise OSError(f"cannot rename {beside}")
+    before, version = _get(spark, path) or {}, f"v-{uuid.uuid4().hex}"
+    prune(merge(load_history(spark, path), touches), now_ms).where("path <> ''").write.parquet(f"{path}/{version}")
+    _put(spark, f"{path}/{MANIFEST}", json.dumps({"format": FORMAT, "version": version}))
+    _clean(spark, path, {version, before.get("version")})
 
 
 def history_json(touches: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import warnings
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +16,8 @@ from siftwell.functions.text import MAX_DEPTH, MAX_SEARCHABLE_BYTES, SKIP_DIRECT
 from siftwell.sources.ignore import Rule, ignored, parse_rules
 
 FILE_CAP = 200_000
-#: Most files with hidden names that are read through the driver.
-HIDDEN_CAP = 20_000
+#: Files with hidden names that one task reads.
+HIDDEN_PER_TASK = 256
 
 
 def relative(path: Column, root: str) -> Column:
@@ -65,30 +70,88 @@ def _hidden(spark: SparkSession, root: str, max_depth: int) -> tuple[list[tuple[
             if not any(part in SKIP_DIRECTORIES for part in path.removeprefix(base).split("/")):
                 if status.isDirectory():
                     folders.append(path)
-                elif len(files) < HIDDEN_CAP:
+                else:
                     files.append((path, status.getLen(), status.getModificationTime()))
     return files, folders
 
 
+def _read_hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, size, mtime_ms) to the same with content, of files that are small enough to search."""
+    from pyarrow import fs
+
+    for whole in batches:
+        for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
+            contents = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content = None
+                if size <= MAX_SEARCHABLE_BYTES:
+                    store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + quote(path.removeprefix("file:")))
+                    with contextlib.suppress(FileNotFoundError), store.open_input_stream(place, compression=None) as stream:
+                        content = stream.read()
+                contents.append(content)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary())], names=["path", "size", "mtime_ms", "content"])
+
+
+def _hidden_files(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
+    """Files that Spark's own reader passes over, read in tasks."""
+    tasks = max(1, -(-len(files) // HIDDEN_PER_TASK))
+    listed = spark.createDataFrame(files, "path string, size long, mtime_ms long").repartition(tasks)
+    return listed.mapInArrow(_read_hidden, "path string, size long, mtime_ms long, content binary")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes each row (path, content) as a file below `root`; tasks write, each file once."""
+    from_root = root.rstrip("/") if "://" in root else "file://" + quote(root.removeprefix("file:").rstrip("/"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(from_root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content.encode() if isinstance(content, str) else content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """path, content of some files below `root`, and nothing else of the tree."""
+    base = root.rstrip("/")
+    hidden = [p for p in paths if any(part[:1] in "._" for part in p.split("/"))]
+    plain = sorted(set(paths) - set(hidden))
+    schema = "path string, content binary"
+    out = spark.createDataFrame([], schema)
+    if plain:
+        escaped = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f"{base}/{p}") for p in plain]
+        out = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(escaped).select(relative(F.col("path"), root).alias("path"), "content")
+    if hidden:
+        out = out.unionByName(_hidden_files(spark, [(f"{base}/{p}", 0, 0) for p in hidden]).select(relative(F.col("path"), root).alias("path"), "content"))
+    return out
+
+
 def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth: int = MAX_DEPTH, rules: list[Rule] | None = None) -> DataFrame:
     """file_id, path, size, mtime_ms, content (bytes), alive of the files below `root`.
 
     Spark lists and reads the tree; names are judged before content is read. Files that Spark
-    takes for hidden are small settings as a rule; they are read through the driver, each only up
-    to what a search would read. A file's id is a hash of its path, so that a later scan gives an
+    takes for hidden are listed beside it, however many, and read in tasks. With a `cap`, the first
+    paths in byte order are kept, and a warning says when that leaves any out. A file's id is a hash of its path, so that a later scan gives an
     unchanged path the same id.
     """
     files, folders = _hidden(spark, root, max_depth)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load([root, *folders])
     named = raw.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
     if files:
-        rows = [(p, n, t, bytearray(_read(spark, p) or b"") if n <= MAX_SEARCHABLE_BYTES else None) for p, n, t in files]
-        named = named.unionByName(spark.createDataFrame(rows, named.schema))
+        named = named.unionByName(_hidden_files(spark, files))
     named = named.withColumn("path", relative(F.col("path"), root)).dropDuplicates(["path"]) if folders else named.withColumn("path", relative(F.col("path"), root))
     kept = keep(named, read_rules(spark, root) if rules is None else rules, max_depth)
     if cap is not None:
-        chosen = capped(kept.select("path"), cap)
-        kept = kept.join(chosen, "path", "left_semi")
+        last = capped(kept.select("path"), cap + 1).agg(F.count("*").alias("n"), F.max("path").alias("path")).first()
+        if last["n"] > cap:
+            warnings.warn(f"the tree has more than {cap} files; those from {last['path']} on are left out", stacklevel=2)
+            kept = kept.where(F.col("path") < last["path"])
     return kept.select(F.xxhash64("path").alias("file_id"), "path", "size", "mtime_ms", "content", F.lit(True).alias("alive"))
 
 

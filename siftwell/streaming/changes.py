@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.operators.frecency import DAY_MS, MAX_DAYS, MAX_TOUCHES
-from siftwell.operators.maintain import forget, refresh
+from siftwell.operators.maintain import forget, refresh, status
 from siftwell.operators.trigrams import Index
 from siftwell.sources.ignore import Rule
 from siftwell.sources.tree import keep
@@ -41,6 +41,20 @@ def watch(events: DataFrame, act: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def tree_events(known: DataFrame, files: DataFrame, at_ms: int) -> DataFrame:
+    """What a watcher would have told since `known`: path, op (upsert or remove), at_ms of every file
+    that a new listing shows as created, changed, revived or gone."""
+    diff = status(known, files).where("status <> 'same'")
+    return diff.select("path", F.when(F.col("status") == "gone", "remove").otherwise("upsert").alias("op"), F.lit(at_ms).cast("long").alias("at_ms"))
+
+
+def watch_tree(engine, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Keeps an engine in step with its tree: at most once an interval the tree is listed and what
+    changed is taken in. Spark's file sources tell of no removals, so the listing is compared."""
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: engine.reconcile() and None).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def route(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool events (tool, path, at_ms) as touches of what was read or written, and refreshes of what was written."""
     live = events.where("path is not null and path <> ''")

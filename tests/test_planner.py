@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import grep, trigrams
 from siftwell.plans.planner import All, Need, for_literal, for_patterns, for_regex, literal_runs
 
+# Patterns and the literal runs they are known to require.
 RUNS = {
     "hello": ["hello"], "foo.*bar": ["foo", "bar"], "colou?rful": ["colo", "rful"], "a+bcde": ["bcde"], "a.b": [], "x[abcdef]y": [], "[abcdef]": [], "a{2,4}bcdef": ["bcdef"], "x{10,200}y": [],
     "a(bcdef)g": ["bcdef"], r"ab\[cdef": ["ab[cdef"], "xy[abcdef": [], "(abcd)?xyz": ["xyz"], "(abcd)*xyz": ["xyz"], "(abcd){0,2}xyz": ["xyz"], "((abc)de)?fgh": ["fgh"], "(abc)+def": ["abc", "def"],

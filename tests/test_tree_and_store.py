@@ -84,7 +84,7 @@ def test_engine_warm_equals_cold(spark, tree, tmp_path):
     warm = SearchEngine(spark, tree, cache=path, now=lambda: 1_800_000_000_000)
     assert warm.stats() == maintain.Stats(7, 0)
     assert [(r.path, r.line) for r in warm.grep("target").items.collect()] == want
-    assert "7 reused" in warm.status()
+    assert "7 of them taken from the stored index" in warm.status()
 
 
 def test_engine_takes_in_changes(spark, tree):
@@ -101,6 +101,7 @@ def test_engine_takes_in_changes(spark, tree):
     row = spark.createDataFrame([(1, "new.ts", 8, now, bytearray(b"a Target"), True)], "file_id long, path string, size long, mtime_ms long, content binary, alive boolean")
     engine.refresh(row)
     assert "new.ts" in {r.path for r in engine.grep("target").items.collect()}
+    assert engine.indexed() == 7 and engine.file_count() == 7
     before = {r.path: r.score for r in engine.find("auth").items.collect()}
     engine.touch("src/routes/auth.ts")
     after = {r.path: r.score for r in engine.find("auth").items.collect()}
@@ -124,3 +125,101 @@ def test_status_and_dirty(spark):
     assert {r.path: (r.file_id, r.status) for r in diff.collect()} == {"same": (1, "same"), "changed": (2, "changed"), "gone": (3, "gone"), "back": (4, "changed"), "new": (16, "new")}
     assert maintain.stats(diff) == maintain.Stats(1, 3)
     assert maintain.dirty(diff, True) and maintain.dirty(diff.where("status = 'same'"), False) and not maintain.dirty(diff.where("status = 'same'"), True)
+
+
+def test_changes_fold_into_the_tables(spark, tree, monkeypatch):
+    import siftwell.engine as module
+
+    monkeypatch.setattr(module, "FOLD_AT", 2)
+    engine = SearchEngine(spark, tree, now=lambda: 1_800_000_000_000)
+    written = engine._base
+    engine.forget("keep.log")
+    engine.forget("no such path")
+    assert engine._base is written and len(engine._changed) == 1
+    engine.forget("src/auth/helpers.ts")
+    assert engine._base is not written and not engine._changed
+    assert [r.path for r in engine.grep("target").items.collect()] == ["a b+c%.txt"] and engine.file_count() == 5
+    for k in range(3):
+        engine.touch("docs/authentication.md")
+    assert engine.touches.count() == 3
+    engine.dispose()
+    assert not os.path.exists(engine._folder.removeprefix("file:"))
+
+
+def test_a_search_opens_its_candidates_only(spark, tree):
+    engine = SearchEngine(spark, tree)
+    asked = []
+    own = engine._some_files
+    engine._some_files = lambda ids: asked.append(len(ids)) or own(ids)
+    assert [r.path for r in engine.grep("helper tar").items.collect()] == ["src/auth/helpers.ts"] and asked == [1]
+    assert [r.path for r in engine.grep("odd name").items.collect()] == ["a b+c%.txt"]
+    assert [r.path for r in engine.grep("generated").items.collect()] == [".gitignore"]
+    with open(f"{tree}/src/auth/helpers.ts", "w") as f:
+        f.write("helper tar two\nhelper tar")
+    assert engine.grep("helper tar").total == 2
+    os.remove(f"{tree}/src/auth/helpers.ts")
+    assert engine.grep("helper tar").total == 0
+
+
+def test_searches_answer_while_the_index_is_built(spark, tree):
+    import threading
+
+    import siftwell.engine as module
+
+    gate, real = threading.Event(), module.build
+    module.build = lambda *a, **k: gate.wait(120) and real(*a, **k)
+    try:
+        engine = SearchEngine(spark, tree, background=True)
+        assert not engine.ready() and engine.building() == 7 and "being built" in engine.status()
+        assert {r.path for r in engine.grep("target").items.collect()} == {"a b+c%.txt", "keep.log", "src/auth/helpers.ts"}
+        assert engine.find("helpers").items.first().path == "src/auth/helpers.ts"
+        gate.set()
+        assert engine.wait(120) and engine.ready() and engine.indexed() == 7
+    finally:
+        module.build = real
+    assert engine.grep("target").total == 3
+
+
+def test_a_tree_is_watched(spark, tree, tmp_path):
+    import time
+
+    from siftwell.streaming.changes import tree_events, watch_tree
+
+    engine = SearchEngine(spark, tree)
+    with open(f"{tree}/late.ts", "w") as f:
+        f.write("late target")
+    os.remove(f"{tree}/keep.log")
+    events = {r.path: r.op for r in tree_events(engine.known, scan(spark, tree), 5).collect()}
+    assert events == {"late.ts": "upsert", "keep.log": "remove"}
+    query = watch_tree(engine, str(tmp_path / "watch"))
+    try:
+        end = time.time() + 90
+        while time.time() < end and engine.file_count() != 7 or engine.grep("late target").total != 1:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert {r.path for r in engine.grep("target").items.collect()} == {"a b+c%.txt", "late.ts", "src/auth/helpers.ts"}
+
+
+def test_many_hidden_files_come_back_whole(spark, tmp_path):
+    root = tmp_path / "hidden"
+    for d in range(20):
+        (root / f"d{d}" / ".settings").mkdir(parents=True)
+        for k in range(60):
+            (root / f"d{d}" / f".f{k}").write_text(f"hidden {d} {k}")
+        (root / f"d{d}" / "__init__.py").write_text("x")
+        (root / f"d{d}" / ".settings" / "a#b %20.json").write_text("{}")
+    got = {r.path: bytes(r.content).decode() for r in scan(spark, str(root)).select("path", "content").collect()}
+    assert len(got) == 20 * 62 and got["d3/.f59"] == "hidden 3 59" and got["d0/.settings/a#b %20.json"] == "{}"
+
+
+def test_versions_are_swapped_and_cleaned(spark, tree, tmp_path):
+    files, path = scan(spark, tree), str(tmp_path / "cache")
+    index = trigrams.build(files)
+    for _ in range(4):
+        store.save(index, files, path, tree)
+    assert len([n for n in os.listdir(path) if n.startswith("v-")]) == 2 and store.load(spark, path, tree) is not None
+    assert [n for n in os.listdir(path) if n.startswith("manifest.json.")] == []
+    for k in range(4):
+        store.save_history(spark.createDataFrame([("a", 1_800_000_000_000 - k)], "path string, at_ms long"), str(tmp_path / "h"), 1_800_000_000_000)
+    assert store.load_history(spark, str(tmp_path / "h")).count() == 4 and len([n for n in os.listdir(tmp_path / "h") if n.startswith("v-")]) == 2
