@@ -166,7 +166,7 @@ class SearchEngine:
         plan = grepping.checked_plan(self.spark, pattern, mode, ignore_case)
         found = candidates(self.index, plan) if pattern else None
         if found is not None:
-            ids = [r["file_id"] for r in with_unindexed(found, self.index, self.known).limit(PUSHED_IDS + 1).collect()]
+            ids = [r["file_id"] for r in with_unindexed(found, self.index, self.known).orderBy("file_id").limit(PUSHED_IDS + 1).collect()]
             if len(ids) <= PUSHED_IDS:
                 try:
                     return grepping.grep(self._some_files(ids), pattern, mode, ignore_case, None, glob, limit, cursor)

@@ -155,7 +155,7 @@ def narrow(files: DataFrame, index: Index, plan: Plan, rarest: DataFrame | None
     if found is None:
         return files, None
     pool = with_unindexed(found, index, files)
-    ids = [r["file_id"] for r in pool.limit(most + 1).collect()]
+    ids = [r["file_id"] for r in pool.orderBy("file_id").limit(most + 1).collect()]  # a top-k plan: one job
     if len(ids) > most:
         return files.join(pool, "file_id", "left_semi"), None
     return files.where(F.col("file_id").isin(ids)), sorted(ids)
