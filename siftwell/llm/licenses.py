@@ -3,13 +3,13 @@
 Terms are runs of a-z and 0-9 after A-Z became a-z.
 
 Headers. The pieces of a text are its lines, its comment blocks (runs of lines that start with a
-comment sign, joined), and its paragraphs (joined lines between blank ones), so that a wrapped
+comment sign and hold a word, joined), and its paragraphs (joined lines between blank ones), so that a wrapped
 header is one piece. A piece is compared with the statements and headers of `TEMPLATES`; terms
 weigh by their document frequency over all texts, and a term no template has as one no text has.
 
-Licence files. A text as a whole is compared with the statements, and, if any of its pieces is a
-statement (all licence texts have a title or opening that is one), with the licence texts in the
-folder `licence_texts`. There terms weigh by how many of these texts have them: a word of all
+Licence files. A text with a piece that reaches `threshold` (all licence texts have a title or
+opening that does) is compared as a whole with the statements, and with the licence texts in the
+folder `licence_texts`. For these, terms weigh by how many of these texts have them: a word of all
 of them tells nothing, and a word of none weighs most. A text that as a whole reaches `threshold` is a
 licence file: it has the licence of its best text, and licenses its directory. Any other document
 has the licence of its best piece, if that reaches `threshold`; one without inherits from the
@@ -53,16 +53,13 @@ TEMPLATES = [
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("CC0-1.0", "CC0 1.0 Universal Creative Commons Legal Code"),
-    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-2.0", "Apache License"),
+    ("CC0-1.0", "CC0 Universal"),
+    ("GPL-3.0", "GNU General Public License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-3.0", "GNU Lesser General Public License"),
+    ("MPL-2.0", "Mozilla Public License"),
 ]
 
 
@@ -99,6 +96,7 @@ def _terms(text: Column) -> Column:
 def _blocks(text: Column) -> Column:
     """Lines, where consecutive comment lines are one."""
     marked = F.regexp_replace(text, f"(?md)^{COMMENT}", IN)
+    marked = F.regexp_replace(marked, f"(?md)^{IN}[^a-zA-Z0-9\n]*$", "")  # without words: no part of a block
     marked = F.regexp_replace(marked, f"(?md)^([^{IN}\n][^\n]*)$", f"$1{OUT}")
     parted = F.replace(marked, F.lit(f"{OUT}\n{IN}"), F.lit(f"\n{OUT}"))
     return F.split(F.replace(parted, F.lit(f"\n{IN}"), F.lit(" ")), "\n")
@@ -148,28 +146,36 @@ def licenses(docs: DataFrame, path: Column | None = None, threshold: float = THR
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for c in templates]
     anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(_anchors(templates, idf, norms, threshold))) + r")(?![a-z0-9])"
 
-    # Pieces leave the scan, and the whole text as piece -1.
+    # The lines, blocks and paragraphs with an anchor leave the scan; `weights` has one row for each template term.
     text = F.col("text")
-    pieces = F.array_distinct(F.filter(F.concat(F.split(text, "\n"), _blocks(text), F.split(text, "\n[ \t\r]*\n")), lambda u: u.rlike(anchor)))
-    listed = F.concat(F.array(F.struct(F.lit(-1).alias("at"), text.alias("piece"))), F.transform(pieces, lambda u, i: F.struct(i.alias("at"), u.alias("piece"))))
-    words = slim.where(text.rlike(anchor)).select(*row, F.explode(listed).alias("x")).select(*row, "x.at", F.explode(_terms(F.col("x.piece"))).alias("term")).groupBy(*row, "at", "term").agg(F.count("*").alias("tf"))
-    # `weights` has one row for each template term.
     text_idf, other, units = _text_weights()
-    weights = [(t, idf.get(t), [c.get(t, 0) * idf[t] / norm if t in c else 0.0 for c, norm in zip(templates, norms)], text_idf.get(t), [u.get(t, 0.0) for u in units]) for t in sorted({*vocabulary, *text_idf})]
-    weighed = words.join(F.broadcast(spark.createDataFrame(weights, "term string, idf double, share array<double>, text_idf double, text_share array<double>")), "term", "left")
-    whole = F.col("at") == -1
-    weighed = weighed.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(total + 1) + 1))).withColumn("v", F.when(whole, F.col("tf") * F.coalesce("text_idf", F.lit(other))))
-    dot = lambda w, share, n, name: [F.sum(F.coalesce(F.col(w) * F.col(share)[k], F.lit(0.0))).alias(f"{name}{k}") for k in range(n)]
-    sums = weighed.groupBy(*row, "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("text_norm"), *dot("w", "share", len(templates), "s"), *dot("v", "text_share", len(units), "f"))
-    scored = sums.select(*row, "at", _best([F.col(f"s{k}") / F.col("norm") for k in range(len(templates))]).alias("s"), _best([F.coalesce(F.try_divide(f"f{k}", "text_norm"), F.lit(0.0)) for k in range(len(units))]).alias("f"))
-    reaches = F.col("s.cosine") >= threshold
-    best = scored.groupBy(*row).agg(F.max(F.when(~whole & reaches, F.col("s"))).alias("piece"), F.max(F.when(whole & reaches, F.col("s"))).alias("all"), F.max(F.when(whole & (F.col("f.cosine") >= threshold), F.col("f"))).alias("text"))
+    pieces = F.array_distinct(F.filter(F.concat(F.split(text, "\n"), _blocks(text), F.split(text, "\n[ \t\r]*\n")), lambda u: u.rlike(anchor)))
+    held_anchor = slim.where(text.rlike(anchor))
+    words = held_anchor.select(*row, F.posexplode(pieces).alias("at", "piece")).select(*row, "at", F.explode(_terms(F.col("piece"))).alias("term")).groupBy(*row, "at", "term").agg(F.count("*").alias("tf"))
+    weights = [(t, idf.get(t), [c[t] * idf[t] / norm if t in c else 0.0 for c, norm in zip(templates, norms)], text_idf.get(t), [u.get(t, 0.0) for u in units]) for t in sorted({*vocabulary, *text_idf})]
+    table = F.broadcast(spark.createDataFrame(weights, "term string, idf double, share array<double>, text_idf double, text_share array<double>"))
+
+    def scored(words: DataFrame, keys: list[str], share: str, weight: Column, n: int) -> DataFrame:
+        """The best template of each vector of words by cosine."""
+        weighed = words.join(table, "term", "left").withColumn("w", F.col("tf") * weight)
+        dots = [F.sum(F.coalesce(F.col("w") * F.col(share)[k], F.lit(0.0))).alias(f"s{k}") for k in range(n)]
+        sums = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+        best = sums.select(*keys, _best([F.coalesce(F.try_divide(f"s{k}", "norm"), F.lit(0.0)) for k in range(n)]).alias("s"))
+        return best.where(F.col("s.cosine") >= threshold)
+
+    statement = F.coalesce("idf", F.lit(math.log(total + 1) + 1))
+    piece = cut(scored(words, [*row, "at"], "share", statement, len(templates)).groupBy(*row).agg(F.max("s").alias("piece")))
+    # Only texts with such a piece are compared as a whole.
+    whole = held_anchor.select(*row, "text").join(piece.select(*row), row, "left_semi").select(*row, F.explode(_terms(text)).alias("term")).groupBy(*row, "term").agg(F.count("*").alias("tf"))
+    whole = cut(whole)
+    as_statement = scored(whole, row, "share", statement, len(templates)).select(*row, F.col("s").alias("all"))
+    as_text = scored(whole, row, "text_share", F.coalesce("text_idf", F.lit(other)), len(units)).select(*row, F.col("s").alias("text"))
+    best = piece.join(as_statement, row, "left").join(as_text, row, "left")
     named = lambda names, at, kind: F.struct(F.col(f"{at}.cosine").alias("similarity"), F.element_at(F.array(*map(F.lit, names)), F.lit(1) - F.col(f"{at}.k")).alias("license"), F.lit(kind).alias("file"))
     statements, names = [n for n, _ in TEMPLATES], [n for n, _ in texts()]
-    known = F.col("piece").isNotNull() | F.col("all").isNotNull()
-    is_text = known & F.col("text").isNotNull() & (F.col("all").isNull() | (F.col("text.cosine") >= F.col("all.cosine")))
-    chosen = F.when(is_text, named(names, "text", True)).when(F.col("all").isNotNull(), named(statements, "all", True)).when(F.col("piece").isNotNull(), named(statements, "piece", False))
-    own = cut(best.select(*row, chosen.alias("c")).where("c is not null").select(*row, "c.license", "c.similarity", "c.file"))
+    is_text = F.col("text").isNotNull() & (F.col("all").isNull() | (F.col("text.cosine") >= F.col("all.cosine")))
+    chosen = F.when(is_text, named(names, "text", True)).when(F.col("all").isNotNull(), named(statements, "all", True)).otherwise(named(statements, "piece", False))
+    own = cut(best.select(*row, chosen.alias("c")).select(*row, "c.license", "c.similarity", "c.file"))
     licensed = own.where("file").groupBy(F.col("dir").alias("from_dir")).agg(F.min(F.struct((-F.col("similarity")).alias("order"), "license")).alias("b")).select("from_dir", F.col("b.license").alias("dir_license"), (-F.col("b.order")).alias("dir_similarity"))
 
     # Directories, not documents, meet their ancestors; the nearest is the one with the longest path.
@@ -201,25 +207,28 @@ n as (select count(*) as n from d),
 df as (select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(body, '[a-z0-9]+'))) as term from d) where term in (select term from tt) group by term),
 idf as (select term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tt) left join df using (term), n),
 tn as (select k, sqrt(sum((tf * idf) * (tf * idf))) as norm from tt join idf using (term) group by k),
-bl as (select r, string_split(replace(replace(regexp_replace(regexp_replace(body, '(?m)^{COMMENT}', chr(1), 'g'), '(?m)^([^
+bl as (select r, string_split(replace(replace(regexp_replace(regexp_replace(regexp_replace(body, '(?m)^{COMMENT}', chr(1), 'g'), '(?m)^\x01[^a-zA-Z0-9\n]*$', '', 'g'), '(?m)^([^
 ][^
 ]*)$', '' || chr(3), 'g'), chr(3) || chr(10) || chr(1), chr(10) || chr(3)), chr(10) || chr(1), ' '), chr(10)) as b from d),
 u as (select r, unnest(list_concat([body], list_concat(string_split(body, chr(10)), list_concat(b, string_split_regex(body, '
-[ 	]*
+[ 	
+]*
 '))))) as piece,
   unnest(range(-1, len(list_concat(string_split(body, chr(10)), list_concat(b, string_split_regex(body, '
-[ 	]*
-')))))) as at from d join bl using (r)),
-w as (select r, at, term, count(*) as tf from (select r, at, unnest(regexp_extract_all(piece, '[a-z0-9]+')) as term from u) group by all),
-ln as (select r, at, sqrt(sum((tf * coalesce(idf, ln(n + 1) + 1)) * (tf * coalesce(idf, ln(n + 1) + 1)))) as norm from w left join idf using (term), n group by all),
-dot as (select w.r, w.at, tt.k, tt.name, sum((w.tf * idf) * (tt.tf * idf)) as dot from w join tt using (term) join idf using (term) group by all),
-c as (select r, at, k, name, round(dot / tn.norm / ln.norm, 6) as cosine from dot join tn using (k) join ln using (r, at)),
-m as (select * from c where cosine >= {THRESHOLD}),
-xn as (select r, sqrt(sum((tf * coalesce(idf, {other!r})) * (tf * coalesce(idf, {other!r})))) as norm from w left join xi using (term) where at = -1 and r in (select r from m) group by r),
-xd as (select w.r, xs.k, xs.name, sum((w.tf * xi.idf) * xs.share) as dot from w join xs using (term) join xi using (term) where at = -1 and r in (select r from m) group by all),
+[ 	
+]*
+')))))) as place from d join bl using (r)),
+w as (select r, place, term, count(*) as tf from (select r, place, unnest(regexp_extract_all(piece, '[a-z0-9]+')) as term from u) group by all),
+ln as (select r, place, sqrt(sum((tf * coalesce(idf, ln(n + 1) + 1)) * (tf * coalesce(idf, ln(n + 1) + 1)))) as norm from w left join idf using (term), n group by all),
+dot as (select w.r, w.place, tt.k, tt.name, sum((w.tf * idf) * (tt.tf * idf)) as dot from w join tt using (term) join idf using (term) group by all),
+c as (select r, place, k, name, round(dot / tn.norm / ln.norm, 6) as cosine from dot join tn using (k) join ln using (r, place)),
+m0 as (select * from c where cosine >= {THRESHOLD}),
+m as (select * from m0 where r in (select r from m0 where place >= 0)),
+xn as (select r, sqrt(sum((tf * coalesce(idf, {other!r})) * (tf * coalesce(idf, {other!r})))) as norm from w left join xi using (term) where place = -1 and r in (select r from m) group by r),
+xd as (select w.r, xs.k, xs.name, sum((w.tf * xi.idf) * xs.share) as dot from w join xs using (term) join xi using (term) where place = -1 and r in (select r from m) group by all),
 x as (select * from (select r, k, name, round(dot / norm, 6) as cosine from xd join xn using (r) where norm > 0) where cosine >= {THRESHOLD}),
 own as (select r, name as license, cosine as similarity, kind > 0 as file from (select *, row_number() over (partition by r order by kind > 0 desc, cosine desc, kind desc, k) as q
-  from (select r, k, name, cosine, case when at = -1 then 1 else 0 end as kind from m union all select r, k, name, cosine, 2 from x)) where q = 1),
+  from (select r, k, name, cosine, case when place = -1 then 1 else 0 end as kind from m union all select r, k, name, cosine, 2 from x)) where q = 1),
 p as (select r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') as dir from d),
 lic as (select dir as from_dir, license as dir_license, similarity as dir_similarity from (select dir, license, similarity, row_number() over (partition by dir order by similarity desc, license) as q
   from p join own using (r) where file) where q = 1),
