@@ -1,9 +1,11 @@
 """Every registered query of the subpackage over sf0.001, against SQL or a plain version."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -131,6 +133,63 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert ((held.predicted == held.y).mean()) >= least and got.score.between(0, 1).all()
 
 
+def test_quality_by_all_pairs(spark, sf_dir, texts):
+    """Scores of the query against the interaction of every pair of inputs, one by one."""
+    from siftwell.llm import quality
+
+    model = quality.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = rows(spark, sf_dir, "op5_quality").set_index("doc_id")
+    assert set(got.index) == set(texts)
+    for doc_id, text in texts.items():
+        words = (text or "").split()
+        counts = Counter(words)
+        share = [math.sqrt(n / len(words)) for n in counts.values()]
+        scale = max(1.0, 2 * math.sqrt(sum(x * x for x in share)))
+        inputs = [(zlib.crc32(w.encode()) % (1 << quality.HASH_BITS), x / scale) for w, x in zip(counts, share)]
+        for i, value in enumerate(quality.statistics(text or "", words, counts)):
+            inputs.append(((1 << quality.HASH_BITS) + i * quality.CELLS + sum(c <= value for c in model.cuts[i]), 0.5))
+        at, x = np.array([i for i, _ in inputs]), np.array([v for _, v in inputs])
+        pairs = np.triu((model.v[at] @ model.v[at].T) * np.outer(x, x), 1).sum()
+        want = 1 / (1 + math.exp(-np.clip(model.w0 + (model.w[at] * x).sum() + pairs, -30, 30)))
+        assert got.score[doc_id] == pytest.approx(want, abs=1e-9) and got.predicted[doc_id] == (got.score[doc_id] >= 0.5)
+
+
+def best_run(scores):
+    """(sum, start, end) of the run with the largest sum: by the lowest prefix sum before each end."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    lowest = np.minimum.accumulate(sums[:-1])
+    end = int(np.argmax(sums[1:] - lowest))
+    return sums[end + 1] - lowest[end], int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1]), end + 1
+
+
+def test_toxicity_by_repeated_search(spark, sf_dir, texts):
+    """Scores of the query against segments found by taking the best run, then those left and right of it."""
+    from siftwell.llm import toxicity
+
+    model = toxicity.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = rows(spark, sf_dir, "op6_toxicity").set_index("doc_id")
+    assert set(got.index) == set(texts) and model.scores
+
+    def word(w):
+        return next((model.scores[n] for n in (f"{w} ", *(w[:k] for k in (6, 5, 4, 3, 2) if k <= len(w))) if n in model.scores), toxicity.DRIFT)
+
+    some = 0
+    for doc_id, text in texts.items():
+        scores = np.array([max([toxicity.DRIFT, *map(word, re.findall(r"\w+", c))]) for c in (text or "").lower().split()])
+        found, todo = [], [(0, len(scores))]
+        while todo:
+            a, b = todo.pop()
+            if a < b and (best := best_run(scores[a:b]))[0] > 0:
+                found.append(best[0])
+                todo += [(a, a + best[1]), (a + best[2], b)]
+        expected_runs = [max(model.k * len(scores), 1.0) * math.exp(-model.rate * s) for s in found]
+        statistic = sum(-math.log(e) for e in expected_runs if e <= toxicity.EXPECT)
+        some += statistic > 0
+        want = 1 / (1 + math.exp(-(model.base + model.slope * min(statistic, 20.0))))
+        assert got.score[doc_id] == pytest.approx(want, abs=1e-9) and got.predicted[doc_id] == (got.score[doc_id] >= 0.7)
+    assert some
+
+
 def test_sharding(spark, sf_dir, texts):
     got = rows(spark, sf_dir, "op10_sharding").set_index("doc_id")
     assert got["size"].to_dict() == {i: len((t or "").encode()) + 16 for i, t in texts.items()}
