@@ -550,7 +550,7 @@ def tree_scan(spark, sf_dir):
     root = f"{prepare_checkpoints(spark)}/tree-{uuid.uuid4().hex}"
     place = F.when(F.col("file_id") % 9 == 4, F.concat(F.lit("docs/node_modules/"), F.col("file_id").cast("string"), F.lit(".txt"))).otherwise(F.col("path"))
     write_tree(files.select(place.alias("path"), "content"), root)
-    return scan(spark, root, rules=parse_rules("/docs/de")).select("path", "size", F.md5("content").alias("digest"))
+    return scan(spark, root, cap=None, rules=parse_rules("/docs/de")).select("path", "size", F.md5("content").alias("digest"))
 
 
 @query(f"with {DOCS_SQL} select path, row_number() over (order by path) as n from docs order by path limit 7")

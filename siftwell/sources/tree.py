@@ -18,6 +18,8 @@ from siftwell.sources.ignore import Rule, ignored, parse_rules
 FILE_CAP = 200_000
 #: Files with hidden names that one task reads.
 HIDDEN_PER_TASK = 256
+#: Of Spark's file partitions, in which a file counts as 4 MB at least, one task reads so many, and about so many bytes.
+SPLITS_PER_TASK, BYTES_PER_TASK = 64, 32 << 20
 
 
 def relative(path: Column, root: str) -> Column:
@@ -107,9 +109,13 @@ def write_tree(files: DataFrame, root: str) -> None:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(from_root)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(f"{base}/{path}", compression=None) as out:
                     out.write(content.encode() if isinstance(content, str) else content)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
@@ -142,7 +148,7 @@ def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth:
     """
     files, folders = _hidden(spark, root, max_depth)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load([root, *folders])
-    named = raw.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    named = _fewer_tasks(raw).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
     if files:
         named = named.unionByName(_hidden_files(spark, files))
     named = named.withColumn("path", relative(F.col("path"), root)).dropDuplicates(["path"]) if folders else named.withColumn("path", relative(F.col("path"), root))
@@ -155,6 +161,12 @@ def scan(spark: SparkSession, root: str, cap: int | None = FILE_CAP, max_depth:
     return kept.select(F.xxhash64("path").alias("file_id"), "path", "size", "mtime_ms", "content", F.lit(True).alias("alive"))
 
 
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """The same files in tasks of hundreds of small ones: Spark deals a few to each, and a task costs more than they do."""
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK, files.rdd.getNumPartitions() // SPLITS_PER_TASK))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than the session has cores, dealt to all of them: a small file is often
     one row group, which one task reads however many there are. Larger tables stay as they are."""

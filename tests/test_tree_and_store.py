@@ -223,3 +223,11 @@ def test_versions_are_swapped_and_cleaned(spark, tree, tmp_path):
     for k in range(4):
         store.save_history(spark.createDataFrame([("a", 1_800_000_000_000 - k)], "path string, at_ms long"), str(tmp_path / "h"), 1_800_000_000_000)
     assert store.load_history(spark, str(tmp_path / "h")).count() == 4 and len([n for n in os.listdir(tmp_path / "h") if n.startswith("v-")]) == 2
+
+
+def test_tree_scan_has_no_cap(spark, sf_dir, monkeypatch):
+    from siftwell import registry
+    from tests.compare import assert_same, expected
+
+    monkeypatch.setattr(scan, "__defaults__", (3, *scan.__defaults__[1:]))
+    assert_same(registry.QUERIES["tree_scan"](spark, sf_dir).toPandas(), expected(registry.ORACLES["tree_scan"], sf_dir))
